@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, warc
+from . import exact_dedup, minhash, warc
 from .common import shared_folder
 
 
@@ -48,9 +48,29 @@ FROM d
 """
 
 
+def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, folder, "documents"))
+
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END) AS s FROM w),
+c AS (SELECT s, min(doc_id) AS c, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+u AS (SELECT c, n, unnest(s) AS x FROM c),
+i AS (SELECT a.c AS a, b.c AS b, any_value(a.n) + any_value(b.n) - count(*) AS union_size, count(*) AS shared
+      FROM u a JOIN u b ON a.x = b.x AND a.c < b.c AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2),
+e AS (SELECT a, b FROM i WHERE 100 * shared >= 80 * union_size),
+r(node, root) AS (SELECT c, c FROM c UNION SELECT z.y, r.root FROM r JOIN (SELECT a AS x, b AS y FROM e UNION ALL SELECT b, a FROM e) z ON z.x = r.node),
+k AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(k.root, s.doc_id) AS component_id, s.doc_id = coalesce(k.root, s.doc_id) AS kept
+FROM s LEFT JOIN c ON c.s = s.s LEFT JOIN k ON k.node = c.c
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_exact_dedup": op2_exact_dedup, "op4_warc": op4_warc}
+    return {"op2_exact_dedup": op2_exact_dedup, "op4_warc": op4_warc, "op9_minhash": op9_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op4_warc": OP4_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op4_warc": OP4_SQL, "op9_minhash": OP9_SQL}
