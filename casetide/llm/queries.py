@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, minhash, warc
+from . import exact_dedup, langid, minhash, warc
 from .common import shared_folder
 
 
@@ -68,8 +68,12 @@ FROM s LEFT JOIN c ON c.s = s.s LEFT JOIN k ON k.node = c.c
 """
 
 
+def op10_langid(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify(_table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_exact_dedup": op2_exact_dedup, "op4_warc": op4_warc, "op9_minhash": op9_minhash}
+    return {"op2_exact_dedup": op2_exact_dedup, "op4_warc": op4_warc, "op9_minhash": op9_minhash, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:
