@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, minhash, warc
+from . import decontam, exact_dedup, langid, minhash, warc
 from .common import shared_folder
 
 
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontam.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, folder, "documents"))
 
@@ -73,7 +77,7 @@ def op10_langid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_exact_dedup": op2_exact_dedup, "op4_warc": op4_warc, "op9_minhash": op9_minhash, "op10_langid": op10_langid}
+    return {"op1_decontamination": op1_decontamination, "op2_exact_dedup": op2_exact_dedup, "op4_warc": op4_warc, "op9_minhash": op9_minhash, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:
