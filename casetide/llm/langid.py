@@ -29,6 +29,8 @@ from .common import short_batches, text_bytes
 WINDOW, EMBEDDING, FILTERS, WIDTHS = 256, 8, 8, (2, 3, 4, 5)
 PER_LANGUAGE, PIECES, EPOCHS, BATCH, RATE = 400, 6, 6, 64, 0.004
 FOLDS, HELD_OUT = 4, 2
+#: Score below which a text's language counts as unknown.
+LEAST_SCORE = 0.3
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -192,3 +194,26 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """One row per input row: id, held_out, lang_pred, score (see the module)."""
     found = predict(docs, fit(docs, id_col, text_col, lang_col), id_col, text_col)
     return found.select(F.col("id").alias(id_col), F.coalesce(fold(F.col("id")) == HELD_OUT, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs`` with letters and a score of ``least`` or more, all columns unchanged.
+
+    The prediction runs as an expression over the text, so no row is matched by its id again and none is shuffled.
+    """
+    net = fit(docs, id_col, text_col, lang_col)
+    if net is None:
+        return docs.limit(0)
+    short_batches(docs.sparkSession)
+
+    def identified(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in texts:
+            parts = []
+            for i in range(0, len(text), 100):
+                windows, rows = cut(*text_bytes(text.slice(i, 100)))
+                chances = probabilities(net, windows)
+                parts += [b > a and float(chances[a:b].mean(axis=0, dtype=np.float64).max()) >= least for a, b in zip(rows[:-1], rows[1:], strict=True)]
+            yield pa.array(parts, pa.bool_())
+
+    known = F.arrow_udf(identified, "boolean")
+    return docs.where(F.col(text_col).rlike(r"\p{L}")).where(known(F.col(text_col)))

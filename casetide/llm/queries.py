@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, langid, minhash, warc
+from . import decontam, exact_dedup, langid, minhash, packing, warc
 from .common import shared_folder
 
 
@@ -52,6 +52,10 @@ FROM d
 """
 
 
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_table(spark, folder, "documents"))
+
+
 def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, folder, "documents"))
 
@@ -77,7 +81,7 @@ def op10_langid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_exact_dedup": op2_exact_dedup, "op4_warc": op4_warc, "op9_minhash": op9_minhash, "op10_langid": op10_langid}
+    return {"op1_decontamination": op1_decontamination, "op2_exact_dedup": op2_exact_dedup, "op4_warc": op4_warc, "op6_packing": op6_packing, "op9_minhash": op9_minhash, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:
