@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, langid, minhash, packing, warc
+from . import decontam, exact_dedup, langid, minhash, packing, tokens, warc
 from .common import shared_folder
 
 
@@ -52,6 +52,13 @@ FROM d
 """
 
 
+def op5_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    shards = tokens.write_tokens(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return tokens.read_tokens(shards)
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"))
 
@@ -81,7 +88,7 @@ def op10_langid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_exact_dedup": op2_exact_dedup, "op4_warc": op4_warc, "op6_packing": op6_packing, "op9_minhash": op9_minhash, "op10_langid": op10_langid}
+    return {"op1_decontamination": op1_decontamination, "op2_exact_dedup": op2_exact_dedup, "op4_warc": op4_warc, "op5_tokens": op5_tokens, "op6_packing": op6_packing, "op9_minhash": op9_minhash, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:
