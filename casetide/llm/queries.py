@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, langid, minhash, packing, tokens, warc
+from . import decontam, exact_dedup, langid, licences, minhash, packing, tokens, warc
 from .common import shared_folder
 
 
@@ -63,6 +63,10 @@ def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"))
 
 
+def op7_licences(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan(_table(spark, folder, "documents"))
+
+
 def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, folder, "documents"))
 
@@ -88,8 +92,8 @@ def op10_langid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_exact_dedup": op2_exact_dedup, "op4_warc": op4_warc, "op5_tokens": op5_tokens, "op6_packing": op6_packing, "op9_minhash": op9_minhash, "op10_langid": op10_langid}
+    return {"op1_decontamination": op1_decontamination, "op2_exact_dedup": op2_exact_dedup, "op4_warc": op4_warc, "op5_tokens": op5_tokens, "op6_packing": op6_packing, "op7_licences": op7_licences, "op9_minhash": op9_minhash, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op4_warc": OP4_SQL, "op9_minhash": OP9_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op4_warc": OP4_SQL, "op7_licences": licences.oracle_sql(), "op9_minhash": OP9_SQL}
