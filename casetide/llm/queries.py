@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, langid, licences, minhash, packing, tokens, warc
+from . import decontam, exact_dedup, langid, licences, lm_score, minhash, packing, tokens, warc
 from .common import shared_folder
 
 
@@ -67,6 +67,12 @@ def op7_licences(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan(_table(spark, folder, "documents"))
 
 
+def op8_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return lm_score.score(_table(spark, folder, "documents"), _table(spark, folder, "labels"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, folder, "documents"))
 
@@ -92,7 +98,7 @@ def op10_langid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_exact_dedup": op2_exact_dedup, "op4_warc": op4_warc, "op5_tokens": op5_tokens, "op6_packing": op6_packing, "op7_licences": op7_licences, "op9_minhash": op9_minhash, "op10_langid": op10_langid}
+    return {"op1_decontamination": op1_decontamination, "op2_exact_dedup": op2_exact_dedup, "op4_warc": op4_warc, "op5_tokens": op5_tokens, "op6_packing": op6_packing, "op7_licences": op7_licences, "op8_lm_score": op8_lm_score, "op9_minhash": op9_minhash, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:
