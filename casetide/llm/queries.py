@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, exact_dedup, langid, licences, lm_score, minhash, packing, tokens, warc
+from . import decontam, exact_dedup, langid, licences, lm_score, minhash, packing, substring_dedup, tokens, warc
 from .common import shared_folder
 
 
@@ -30,6 +30,10 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.repeated_passages(_table(spark, folder, "documents"))
+
+
 def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
     archive = shared_folder(spark)
     warc.write_archive(_table(spark, folder, "pages"), archive)
@@ -98,7 +102,7 @@ def op10_langid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_exact_dedup": op2_exact_dedup, "op4_warc": op4_warc, "op5_tokens": op5_tokens, "op6_packing": op6_packing, "op7_licences": op7_licences, "op8_lm_score": op8_lm_score, "op9_minhash": op9_minhash, "op10_langid": op10_langid}
+    return {"op1_decontamination": op1_decontamination, "op2_exact_dedup": op2_exact_dedup, "op3_substring_dedup": op3_substring_dedup, "op4_warc": op4_warc, "op5_tokens": op5_tokens, "op6_packing": op6_packing, "op7_licences": op7_licences, "op8_lm_score": op8_lm_score, "op9_minhash": op9_minhash, "op10_langid": op10_langid}
 
 
 def oracle_sql() -> dict[str, str]:
