@@ -1 +1,4 @@
-"""See the package README section for the operators of this folder."""
+"""Registered queries; importing the modules fills the registry."""
+
+from . import events, inference, spatial, temporal, text  # noqa: F401
+from .registry import ORACLE, QUERIES  # noqa: F401
