@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import first_largest, noisy_or
@@ -76,12 +76,16 @@ def evidence(c: dict[str, Column]) -> dict[str, Column]:
     }
 
 
-def explanations(parts: dict[str, Column]) -> dict[str, Column]:
-    """Chance by category, overall and from context alone, and the likeliest category (``none`` below 0.05)."""
+def scored(reports: DataFrame, c: dict[str, Column]) -> DataFrame:
+    """``reports`` with the evidence, the chance by category (``p_``), overall and from context alone, and the likeliest
+    category (``none`` below 0.05). Each step is a projection of its own, so no expression is repeated in the next."""
+    parts = list(evidence(c))
+    out = reports.withColumns(evidence(c))
     names = sorted({k.split("_", 1)[1] for k in parts})
-    by_category = {n: noisy_or(*[v for k, v in parts.items() if k.split("_", 1)[1] == n]) for n in names}
-    out = {f"p_{n}": v for n, v in by_category.items()}
-    out["p_explained"] = noisy_or(*by_category.values())
-    out["p_explained_ctx_only"] = noisy_or(*[v for k, v in parts.items() if k.startswith("ctx_")])
-    out["top_explanation"] = first_largest(names, list(by_category.values()), 0.05)
-    return out
+    out = out.withColumns({f"p_{n}": noisy_or(*[F.col(k) for k in parts if k.split("_", 1)[1] == n]) for n in names})
+    chances = [F.col(f"p_{n}") for n in names]
+    return out.withColumns({
+        "p_explained": noisy_or(*chances),
+        "p_explained_ctx_only": noisy_or(*[F.col(k) for k in parts if k.startswith("ctx_")]),
+        "top_explanation": first_largest(names, chances, 0.05),
+    })
