@@ -29,7 +29,7 @@ def haversine_km(lat1, lon1, lat2, lon2, radius: float = EARTH_KM) -> Column:
     """Great-circle distance; null where a coordinate is."""
     a1, o1, a2, o2 = (F.radians(col(x)) for x in (lat1, lon1, lat2, lon2))
     h = F.pow(F.sin((a2 - a1) / 2), 2) + F.cos(a1) * F.cos(a2) * F.pow(F.sin((o2 - o1) / 2), 2)
-    return 2 * radius * F.asin(F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), h))))
+    return F.when(h.isNotNull(), 2 * radius * F.asin(F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), h)))))
 
 
 def destination(lat, lon, bearing_deg, km) -> tuple[Column, Column]:
