@@ -72,9 +72,9 @@ def anchors(templates: list[tuple[str, str]], threshold: float = THRESHOLD) -> l
     for _, text in templates:
         words = template_words(text)
         bigrams = _bigrams(words)
-        may_miss = len(bigrams) * (1 - threshold / (2 - threshold))
+        n = len(bigrams)
         covered = lambda w, b=bigrams: sum(bool(w & set(x.split())) for x in b)
-        while covered(chosen) <= may_miss:
+        while 2 * (n - covered(chosen)) / (2 * n - covered(chosen)) >= threshold - 1e-12:  # what a unit without them could reach
             rest = sorted(set(words) - chosen, key=lambda w, c=covered: (w in COMMON, w.isdigit(), -c({w}), -len(w), w))
             chosen.add(rest[0])
     return sorted(chosen)
