@@ -41,11 +41,10 @@ def destination(lat, lon, bearing_deg, km) -> tuple[Column, Column]:
 
 
 def place_radius_km(area_km2, population) -> Column:
-    """Radius of a place from its area, else from its population (1,000 a square km), within 5 to 40; 10 by default."""
+    """Radius of a place: sqrt(area) / 1.5, else 10 km for 100,000 people by the square root, within 5 to 40; 10 by default."""
     area, people = col(area_km2), col(population)
-    from_area = F.when(area > 0, F.sqrt(area / math.pi))
-    from_people = F.when(people > 0, F.sqrt(people / (1000 * math.pi)))
-    return F.least(F.lit(40.0), F.greatest(F.lit(5.0), F.coalesce(from_area, from_people, F.lit(10.0))))
+    within = lambda r: F.least(F.lit(40.0), F.greatest(F.lit(5.0), r))
+    return F.when(area > 0, within(F.sqrt(area) / 1.5)).when(people > 0, within(10 * F.sqrt(people / 1e5))).otherwise(10.0)
 
 
 def half_degree_cell(lat, lon) -> Column:

@@ -87,6 +87,28 @@ def derived(points: DataFrame) -> DataFrame:
     return points.drop(*stale).withColumns(made)
 
 
+def control_exposures() -> dict[str, Column]:
+    """Exposures of the positive controls: null wherever a column they need is. Darkness is the Sun below -12 degrees,
+    twilight between -20 and -3."""
+    n = lambda c: finite(F.col(c).cast("double"))
+    both = lambda flag, *needs: F.when(reduce(lambda a, b: a & b, [x.isNotNull() for x in needs]), flag.cast("double"))
+    sun, pad, age, era = n("sun_alt"), n("n_launch_lpost3h_1500km"), n("days_since_starlink_launch"), n("starlink_era")
+    dark, twilight = sun < -12, (sun < -3) & (sun > -20)
+    zhr, venus, elong, moon, light = n("shower_zhr_total"), n("venus_alt"), n("venus_elong"), n("moon_alt"), n("moon_illum")
+    mmdd, sky, burst = F.col("mmdd"), n("wx_sky_oktas"), n("meteor_outburst_pm1d")
+    return {
+        "x_shower50": both((zhr >= 50) & dark, zhr, sun), "x_shower_zhr": zhr,
+        "x_fireball_30m_1000": both(n("n_fb_pm30m_1000km") > 0, n("n_fb_pm30m_1000km")), "x_fireball_30m_500": both(n("n_fb_pm30m_500km") > 0, n("n_fb_pm30m_500km")),
+        "x_launch_3h_1500": both(pad > 0, pad), "x_launch_twilight": both((pad > 0) & twilight, pad, sun), "x_launch_dark_or_day": both((pad > 0) & ~twilight, pad, sun),
+        "x_starlink_10d": F.when(era > 0, both(age <= 10, age)),
+        "x_july4": n("hol_independence_day"), "x_nye": both(mmdd.isin("12-31", "01-01"), mmdd),
+        "x_venus_vis": both((venus > 3) & (sun < -3) & (elong > 15), venus, sun, elong), "x_venus_alt": both(F.greatest(venus, F.lit(-5.0)), venus),
+        "x_iss": n("iss_visible_win"), "x_moon_up": both(moon > 0, moon), "x_moon_bright": both((moon > 0).cast("double") * light, moon, light),
+        "x_outburst": both(burst * dark.cast("double"), burst, sun), "x_large_airport_25km": both(n("dist_large_airport_km") <= 25, n("dist_large_airport_km")),
+        "x_sky_oktas": sky, "x_clear": both(sky <= 2, sky),
+    }
+
+
 # ------------------------------------------------------------------ cohorts and subsets
 
 NORTH_AMERICA = ("US", "USA", "CA", "CANADA")

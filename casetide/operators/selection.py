@@ -28,6 +28,8 @@ DESIGNS = {
 MATCHER_INPUTS = "launch|fireball|n_fb|iss_|venus|jupiter|shower|outburst|starlink|storm|hol_|mmdd|large_airport|reentry|moon_up|moon_full"
 MATCHER_SUBSETS = ("UNEXPLAINED", "HQ_UNEXPLAINED", "EXPLAINED")
 MIN_NULLS = 20
+#: Odds ratios that count as no effect (fixed values).
+EQUIVALENCE = (0.8, 1.25)
 
 
 def valid_fit(status: str = "status", effect: str = "effect", p: str = "p_value") -> Column:
@@ -85,11 +87,19 @@ def rank_p(nulls: DataFrame, observed: str, null: str, by: list[str], least: int
     return nulls.groupBy(*by).agg(n.alias("n_null"), F.when(n >= least, (beyond + 1) / (n + 1)).alias("p_perm"))
 
 
-def control_class(status: Column, effect: Column, p: Column, expected: str = "+") -> Column:
-    """Outcome of a positive control; an invalid fit is not testable, never a pass."""
-    right = (effect > 1) if expected == "+" else (effect < 1)
-    good = F.coalesce(status.isin(*VALID) & p.isNotNull() & effect.isNotNull(), F.lit(False))
-    return F.when(~good, "NOT_TESTABLE").when(right & (p < 0.05), "PASS").when(~right & (p < 0.05), "FAIL").otherwise("INCONCLUSIVE")
+def control_class(expected: str, status="status", effect="effect", p="p_value", lo="ci_low", hi="ci_high", equivalence: tuple[float, float] = EQUIVALENCE) -> Column:
+    """Outcome of a positive control whose effect should be ``+``, ``-`` or ``0``. An invalid fit is never a pass, and
+    limits that exclude a 10 % effect in the expected direction are a failure."""
+    e, q, low, high = F.col(effect), F.col(p), F.col(lo), F.col(hi)
+    usable = F.coalesce(valid_fit(status, effect, p) & low.isNotNull() & high.isNotNull() & ~F.isnan(low) & ~F.isnan(high), F.lit(False))
+    out = F.when(~usable, "NOT_TESTABLE")
+    if expected == "+":
+        return out.when((q < 0.05) & (low > 1), "PASSED").when(((q < 0.05) & (e < 1)) | (high < 1.10), "FAILED").otherwise("INCONCLUSIVE")
+    if expected == "-":
+        return out.when((q < 0.05) & (high < 1), "PASSED").when(((q < 0.05) & (e > 1)) | (low > 1 / 1.10), "FAILED").otherwise("INCONCLUSIVE")
+    if expected == "0":
+        return out.when((low >= equivalence[0]) & (high <= equivalence[1]), "PASSED_EQUIVALENT").when(q < 0.05, "FAILED_ASSOCIATED").otherwise("INCONCLUSIVE")
+    return out.otherwise("INFORMATIONAL")
 
 
 # ------------------------------------------------------------------ frozen specifications

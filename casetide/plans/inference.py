@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import matched, multiplicity, panels, selection, spatial_stats
+from ..operators import convergence, matched, multiplicity, panels, selection, spatial_stats
 from .registry import query, table
 
 
@@ -193,12 +193,12 @@ def candidate_selection(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""
 SELECT test, CASE WHEN status NOT IN ('OK', 'OK_EXACT') THEN 'NOT_TESTABLE' WHEN (effect > 1) = (direction = '+') THEN CASE WHEN p_value < 0.05 THEN 'REPLICATED' ELSE 'SAME_DIRECTION_NS' END WHEN p_value < 0.05 THEN 'OPPOSITE_SIGNIFICANT' ELSE 'OPPOSITE_NS' END AS verdict,
-  CASE WHEN status NOT IN ('OK', 'OK_EXACT') THEN 'NOT_TESTABLE' WHEN p_value < 0.05 AND effect > 1 THEN 'PASS' WHEN p_value < 0.05 AND effect < 1 THEN 'FAIL' ELSE 'INCONCLUSIVE' END AS control FROM ({_RESULTS})
+  CASE WHEN status NOT IN ('OK', 'OK_EXACT') THEN 'NOT_TESTABLE' WHEN p_value < 0.05 AND effect / 1.2 > 1 THEN 'PASSED' WHEN p_value < 0.05 AND effect < 1 OR effect * 1.2 < 1.10 THEN 'FAILED' ELSE 'INCONCLUSIVE' END AS control FROM ({_RESULTS})
 """)
 def validation_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     """Verdict of a validation test and class of a positive control (STA-28, STA-31)."""
-    r = _results(spark, folder)
-    return r.select("test", selection.verdict().alias("verdict"), selection.control_class(F.col("status"), F.col("effect"), F.col("p_value")).alias("control"))
+    r = _results(spark, folder).withColumns({"ci_low": F.col("effect") / 1.2, "ci_high": F.col("effect") * 1.2})
+    return r.select("test", selection.verdict().alias("verdict"), selection.control_class("+").alias("control"))
 
 
 @query("""
@@ -260,6 +260,37 @@ def catalog_share(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").agg(F.round(F.count_if(F.col("event_type") == "error") / F.count(F.lit(1)), 9).alias("share"), F.count(F.lit(1)).alias("n"))
 
 
+@query("""
+WITH o AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders)
+SELECT k AS event_id, ((k % 4 + 1 >= 2 AND c % 2 = 0) OR c % 3 + 1 >= 2 OR (k % 5 >= 3 AND k % 2 = 0))::INT + (k % 6 <> 0)::INT + (k % 7 <> 0 OR c % 7 <> 0)::INT + (c % 4 = 0)::INT
+  + (CASE WHEN k % 5 = 0 THEN c % 4 = 1 ELSE k % 100 / 100.0 < 0.1 AND NOT (k % 9 > 5) END)::INT + (k % 90 <= 15 AND c % 40 <= 10)::INT + CASE WHEN k % 11 = 0 THEN 0 ELSE (abs(c % 20 - 10) >= 8)::INT END AS score_without_mag FROM o
+""")
+def convergence_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Indicators that converge on an event, the unknown ones as none (DOM-19, ARR-04)."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    told = lambda x: F.when(x, "YES_TEXT").otherwise("NOT_REPORTED")
+    e = table(spark, folder, "orders").select(
+        k.alias("event_id"), (k % 4 + 1).alias("report_count"), (c % 2 == 0).alias("separated_witnesses"), (c % 3 + 1).alias("source_count"), (k % 5).alias("witnesses"), F.when(k % 2 == 0, "structured").otherwise("none").alias("witness_basis"),
+        told(k % 6 != 0).alias("radar"), told(k % 7 != 0).alias("photo"), told(c % 7 != 0).alias("video"), F.when(c % 4 == 0, "ex pilot").alias("witness_type"), F.when(k % 5 == 0, "GEIPAN").otherwise("X").alias("source"), F.when(c % 4 == 1, "D").alias("geipan_class"),
+        (k % 100 / 100.0).alias("p_explained"), F.when(k % 9 > 5, 1).alias("n_launch_lpost3h_1500km"), F.lit(None).cast("int").alias("n_fb_pm30m_1000km"), F.lit(0).alias("iss_visible_win"), F.lit(None).cast("double").alias("days_since_starlink_launch"),
+        (k % 90).alias("uncertainty_min"), (c % 40).alias("radius_km"), F.lit(None).cast("boolean").alias("magnetometer_flag"), (c % 20 - 10).alias("wx_dslp_24h"), F.lit(0).alias("wx_inversion_proxy"), F.lit(-10.0).alias("sun_alt"), F.when(k % 11 != 0, 3).alias("wx_sky_oktas"),
+    )
+    return convergence.scored(e).select("event_id", "score_without_mag")
+
+
+@query("""
+WITH e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS t, value AS h FROM events), d AS (SELECT user_id, t, abs(h - lag(h) OVER (PARTITION BY user_id ORDER BY t)) AS dh FROM e),
+w AS (SELECT p.event_id, s::INT AS shift, max(d.dh) AS m FROM e p CROSS JOIN range(-3, 4) r(s) LEFT JOIN d ON d.user_id = p.user_id AND d.t BETWEEN p.t + s * 86400 - 21600 AND p.t + s * 86400 + 21600 GROUP BY ALL),
+g AS (SELECT event_id, max(m) FILTER (shift = 0) AS peak, median(m) FILTER (shift <> 0) AS usual, max(m) FILTER (shift <> 0) AS highest, count(m) FILTER (shift <> 0) AS n_controls FROM w GROUP BY 1)
+SELECT event_id, n_controls, round(peak / nullif(usual, 0), 6) AS ratio, peak > highest AS magnetometer_flag FROM g
+""")
+def anomaly_rank(spark: SparkSession, folder: str) -> DataFrame:
+    """The largest step around an event against the same hour of other days (DOM-20, WIN-07)."""
+    e = table(spark, folder, "events").select("event_id", F.col("user_id").alias("station"), (X.epoch_us("ts") / 1e6).alias("t"), F.col("value").alias("h"))
+    out = convergence.anomaly_rank(e.select(F.col("event_id").alias("point_id"), "station", "t"), e.select("station", "t", "h"), days=3, half_window_s=21600.0, least_values=1, least_controls=1)
+    return out.select(F.col("point_id").alias("event_id"), "n_controls", F.round("ratio", 6).alias("ratio"), "magnetometer_flag")
+
+
 @query("SELECT event_id, round(1 - (1 - least(1.0, greatest(0.0, coalesce(value / 200, 0)))) * (1 - 0.25 * (event_type = 'error')::INT), 9) AS score FROM events")
 def indicator_score(spark: SparkSession, folder: str) -> DataFrame:
     """Combined indicator with missing parts as none (DOM-19, AGG-08)."""
