@@ -9,8 +9,8 @@ place, how often an id occurs before a place, and the place of its k-th occurren
 Files are rows of a Parquet table, since executors reach a shared store through Spark's writers only. The number of
 tokens before a task's first one comes from the tasks' totals, one number each.
 
-A text is encoded word by word (white space always ends a token of this vocabulary), so frequent words are looked
-up; the ids are those of encoding the whole text. Null text is empty and yields the end id alone. Rows without an id
+A text is encoded piece by piece (see ``Encoder``), so frequent pieces are looked up; the ids are those of encoding
+the whole text. Null text is empty and yields the end id alone. Rows without an id
 come first. Rows of one id are ordered by a hash of their text. An empty table gives an empty result.
 """
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,8 @@ END_ID = 2
 SHARD_TOKENS = 1 << 18
 #: Bits between two counts of the directory.
 BLOCK = 512
-#: Words kept with their ids, in each worker.
-REMEMBERED = 200_000
+#: Pieces kept with their ids, in each worker.
+REMEMBERED = 1_000_000
 MAGIC = b"WVLTMTX1"
 
 
@@ -160,8 +161,17 @@ class WaveletMatrix:
         return self.alphabet[code]
 
 
+#: Kinds of bytes: 0 white space, 1 ASCII letter, 2 other ASCII, 3 the rest; and ASCII letters folded.
+_KIND = np.array([0 if i in (32, 9, 10, 11, 12, 13) else 3 if i > 127 else 1 if chr(i).isalpha() else 2 for i in range(256)], np.uint8)
+_LOWER = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8)
+
+
 class Encoder:
-    """Ids of whole texts, by looking up their words. One for each worker."""
+    """Ids of whole texts, by looking up their pieces. One for each worker.
+
+    In this vocabulary a token ends at white space and where an ASCII letter meets another ASCII sign, and letters are
+    folded, so pieces between such places, folded, have the ids they have in the text.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -175,35 +185,53 @@ class Encoder:
         self.flat = np.zeros(1 << 20, np.uint32)
         self.ends = np.zeros(REMEMBERED + 1, np.int64)
 
-    def _learn(self, words: list[bytes]) -> None:
-        for word, found in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
-            k, ids = len(self.number), found.ids
-            begin = int(self.ends[k])
-            while begin + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if k + 1 >= len(self.ends):
-                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-            self.flat[begin : begin + len(ids)] = ids
-            self.ends[k + 1] = begin + len(ids)
-            self.number[word] = k
+    def _learn(self, pieces: list[bytes]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        known = len(self.number)
+        stops = self.ends[known] + np.cumsum(sizes)
+        while known + len(found) >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        while stops[-1] > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.ends[known] : stops[-1]] = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        self.ends[known + 1 : known + 1 + len(found)] = stops
+        self.number.update(zip(pieces, range(known, known + len(found)), strict=True))
+
+    def _whole(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Without the lookup, for texts that may hold the special tokens' strings."""
+        raw = data.tobytes()
+        found = self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], add_special_tokens=False)
+        sizes = np.array([len(e.ids) for e in found], np.int64)
+        return np.fromiter(chain.from_iterable(e.ids for e in found), np.uint32, int(sizes.sum())), sizes
 
     def __call__(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the rows of a byte column, and how many each row has."""
+        if b"<|" in data.tobytes():
+            return self._whole(data, at)
         if len(self.number) > REMEMBERED:
             self._clear()
-        raw = data.tobytes()
-        split = [raw[a:b].split() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        words = [w for row in split for w in row]
-        places = list(map(self.number.get, words))
-        if None in places:
-            self._learn(list(dict.fromkeys(w for w, p in zip(words, places, strict=True) if p is None)))
-            places = list(map(self.number.get, words))
-        place = np.array(places, np.int64)
-        begin = self.ends[place]
-        sizes = self.ends[place + 1] - begin
+        # a blank before the first of other ASCII signs after an ASCII letter, and one between rows: both end a token
+        kind = _KIND[data]
+        cut = np.zeros(len(data) + 1, bool)
+        cut[1:-1] = (kind[:-1] == 1) & (kind[1:] == 2)
+        cut[at] = True
+        places = np.flatnonzero(cut)
+        spread = np.insert(_LOWER[data], places, 32)
+        begins = at + np.searchsorted(places, at, "right")  # behind the row's own blank
+        head = _KIND[spread] != 0
+        head[1:] &= _KIND[spread[:-1]] == 0
+        row = np.searchsorted(np.flatnonzero(head), begins)
+        pieces = spread.tobytes().split()
+        numbers = list(map(self.number.get, pieces))
+        if None in numbers:
+            self._learn(list(dict.fromkeys(p for p, n in zip(pieces, numbers, strict=True) if n is None)))
+            numbers = list(map(self.number.get, pieces))
+        number = np.array(numbers, np.int64)
+        begin = self.ends[number]
+        sizes = self.ends[number + 1] - begin
         stops = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.flat[np.repeat(begin - stops[:-1], sizes) + np.arange(stops[-1])]
-        row = np.concatenate([[0], np.cumsum([len(r) for r in split])]).astype(np.int64)
         return ids, np.diff(stops[row])
 
 
