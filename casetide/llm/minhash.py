@@ -4,13 +4,14 @@
    of its bands, and a signature that keeps the two low bits of each minimum, packed in words of 64 bits.
 2. Documents with equal sets form a class; only the least id of a class goes on, so thousands of copies cost
    one row from here. Grouping by digest combines map-side.
-3. Band keys that two classes or more share give candidates. Each member is paired with the least id of its
-   bucket, not with every other member.
+3. Band keys that two classes or more share give candidates. Each member is paired with a few centres of its
+   bucket, not with every other member: those that come first in orders of all ids, the same in each bucket.
 4. Candidates must fit in size and pass the similarity that bit counts of the signatures estimate, corrected for
-   chance collisions of two bits (the bound lies more than five standard deviations below the threshold).
+   chance collisions of two bits (the bound lies 4.5 standard deviations below the threshold: 3e-6).
 5. What is left is confirmed on the full sets, in whole numbers, and linked classes become components.
-6. Members of one bucket that are in different components by then are paired with one another and go through 4
-   and 5 too, so no link is lost to the choice of a centre.
+6. Members of one bucket that are in different components by then meet further centres, as long as many pairs are left
+   and each round at least halves them. At last all of them are paired with one another and go through 4 and 5 too, so no
+   link is lost to the choice of centres.
 
 With 32 bands of five rows a pair at the threshold of 0.8 is missed with probability 3e-6.
 
@@ -32,10 +33,15 @@ from .common import Words, distinct_by_row, materialize, minima, mix64, seeds, s
 from .components import components
 
 BANDS, ROWS = 32, 5
-#: 64-bit words of one plane of the signature.
-PLANE = (BANDS * ROWS + 63) // 64
+#: Minima of the signature (those of the bands among them), and 64-bit words of one plane of it.
+MINIMA = 512
+PLANE = MINIMA // 64
+#: Centres of a bucket in one round, and rounds of further centres at most.
+CENTRES, ROUNDS = 4, 4
+#: Ids broadcast at most (16 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 200_000
 #: Standard deviations that the estimate may lie below the threshold.
-SIGMAS = 5.5
+SIGMAS = 4.5
 
 
 def _sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,13 +66,13 @@ def _slices(batch: pa.RecordBatch, rows: int = 128) -> Iterator[pa.RecordBatch]:
 
 def _sketcher(size: int) -> Callable:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        multipliers = seeds(BANDS * ROWS, 7)
+        multipliers = seeds(MINIMA, 7)
         turn = seeds(ROWS, 13)
         salt = seeds(BANDS, 17)
         for batch in (part for whole in batches for part in _slices(whole)):
             values, rows = _sets(batch.column(1), size)
             least = minima(values, rows, multipliers)
-            banded = least.reshape(len(least), BANDS, ROWS)
+            banded = least[:, : BANDS * ROWS].reshape(len(least), BANDS, ROWS)
             keys = salt + np.zeros((len(least), BANDS), np.uint64)
             for r in range(ROWS):
                 keys += mix64(banded[:, :, r]) * turn[r]
@@ -74,8 +80,7 @@ def _sketcher(size: int) -> Callable:
             mixed = mix64(least)
             planes = []
             for bit in (0, 1):
-                bits = np.zeros((len(least), PLANE * 64), np.uint8)
-                bits[:, : BANDS * ROWS] = (mixed >> np.uint64(bit)) & np.uint64(1)
+                bits = ((mixed >> np.uint64(bit)) & np.uint64(1)).astype(np.uint8)
                 planes.append(np.packbits(bits, axis=1).view(np.int64).reshape(len(least), PLANE))
             low, high = _digest(values, rows)
             columns = [batch.column(0), pa.array(np.diff(rows).astype(np.int64)), pa.array(low.view(np.int64)), pa.array(high.view(np.int64))]
@@ -130,7 +135,7 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     facts = ["n", *_signature()]
     for side in ("a", "b"):
         pairs = pairs.join(classes.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in facts]), side)
-    total = BANDS * ROWS
+    total = MINIMA
     differ = sum(
         F.bit_count(F.col(f"a_s0{k}").bitwiseXOR(F.col(f"b_s0{k}")).bitwiseOR(F.col(f"a_s1{k}").bitwiseXOR(F.col(f"b_s1{k}")))) for k in range(PLANE)
     )
@@ -145,45 +150,82 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The ``pairs`` (a, b) whose full sets are similar enough. ``docs``: (id, text), one row an id."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     members = materialize(_set_table(docs.join(ids, "id", "left_semi"), size))
     for side in ("a", "b"):
         pairs = pairs.join(members.select(F.col("id").alias(side), F.col("members").alias(f"members_{side}")), side)
     return pairs.select("a", "b", "members_a", "members_b").mapInArrow(_confirm(percent), "a long, b long")
 
 
+def _stars(placed: DataFrame, salt: int) -> DataFrame:
+    """(a, b): members of a bucket and its centres, of different components. ``placed``: (key, id, root)."""
+    first = [F.min(F.struct((F.xxhash64("id", F.lit(salt + k)) if salt + k else F.col("id")).alias("order"), "id", "root")).alias(f"c{k}") for k in range(CENTRES)]
+    centres = placed.groupBy("key").agg(*first, F.min("root").alias("x"), F.max("root").alias("y")).where("x < y")
+    met = placed.join(centres.select("key", F.array_distinct(F.array(*[F.struct(f"c{k}.id", f"c{k}.root") for k in range(CENTRES)])).alias("centres")), "key")
+    met = met.select("id", "root", F.explode("centres").alias("c")).where("root <> c.root")
+    return met.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
+
+
+def _all_across(placed: DataFrame) -> DataFrame:
+    """(a, b): all members of a bucket that are in different components."""
+    other = placed.select("key", F.col("id").alias("b"), F.col("root").alias("root_b"))
+    pairs = placed.withColumnsRenamed({"id": "a", "root": "root_a"}).join(other, "key").where("root_a < root_b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _hop(placed: DataFrame, found: DataFrame) -> DataFrame:
+    """``placed`` with each root moved to the least root that a link of ``found`` (a, b) joins it to: one hop, which
+    is all that's needed to tell most pairs apart before the final components."""
+    at = placed.select("id", "root").distinct()
+    for side in ("a", "b"):
+        found = found.join(at.select(F.col("id").alias(side), F.col("root").alias(f"root_{side}")), side)
+    moves = found.where("root_a <> root_b").groupBy(F.greatest("root_a", "root_b").alias("root")).agg(F.min(F.least("root_a", "root_b")).alias("to"))
+    return placed.join(moves, "root", "left").select("key", "id", F.coalesce("to", "root").alias("root"))
+
+
+def _left(placed: DataFrame) -> tuple[int, int]:
+    """How many pairs of different components the buckets hold, and how many members such buckets have."""
+    sizes = placed.groupBy("key", "root").count().groupBy("key").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"), F.count(F.lit(1)).alias("parts"))
+    row = sizes.where("parts > 1").agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.sum("n")).first()
+    return int(row[0] or 0), int(row[1] or 0)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2, percent: int = 80) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept (see the module)."""
     table = materialize(sketches(docs, id_col, text_col, size))
     linked = table.where("n > 0 AND id IS NOT NULL")
-    members = linked.groupBy("low", "high", "n").agg(F.min("id").alias("class_id"))
     keys = ["low", "high", "n"]
+    members = linked.groupBy(*keys).agg(F.min("id").alias("class_id"))
     of_class = materialize(linked.select("id", *keys).join(members, keys).select("id", "class_id").distinct())
-    heads = members.select(F.col("class_id").alias("id"))
+    heads = of_class.where("id = class_id").select("id").distinct()
     classes = materialize(linked.join(heads, "id", "left_semi").dropDuplicates(["id"]))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL").join(heads, "id", "left_semi")
     entries = classes.select("id", F.explode("bands").alias("key"))
-    buckets = entries.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").drop("last")
-    crowded = materialize(entries.join(buckets, "key"))
-    stars = crowded.where("id > centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    first = materialize(_plausible(stars, classes, percent))
-    links = materialize(confirmed(first, texts, size, percent))
-    # the same document may stand in several rows of one id with different texts: any of them may link
-
-    root = components(links)
-    placed = crowded.join(root.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    split = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    apart = materialize(placed.join(split, "key", "left_semi"))
-    other = apart.select("key", F.col("id").alias("b"), F.col("root").alias("root_b"))
-    across = apart.select("key", F.col("id").alias("a"), F.col("root").alias("root_a")).join(other, "key").where("root_a < root_b")
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = materialize(_plausible(across.join(first, ["a", "b"], "left_anti"), classes, percent))
-    more = materialize(confirmed(rest, texts, size, percent))
-    root = materialize(components(links.unionByName(more)))
-
-    placed = of_class.join(root.select(F.col("node").alias("class_id"), "root"), "class_id", "left").groupBy("id").agg(F.min(F.coalesce("root", "class_id")).alias("root"))
-    out = table.select("id", "n").join(placed, "id", "left")
+    shared = entries.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("key")
+    crowded = materialize(entries.join(shared, "key"))
+    placed = crowded.withColumn("root", F.col("id"))
+    links, pairs = None, float("inf")
+    for turn in range(ROUNDS):
+        found = materialize(_plausible(_stars(placed, turn * CENTRES), classes, percent))
+        found = materialize(confirmed(found, texts, size, percent))
+        links = found if links is None else links.unionByName(found)
+        if turn:
+            placed = materialize(_hop(placed, found))
+        else:
+            root = components(links).withColumnRenamed("node", "id")
+            placed = materialize(crowded.join(root, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
+        before, (pairs, rows) = pairs, _left(placed)
+        if pairs <= rows / 4 or pairs > before / 2:
+            break
+    if pairs:
+        found = materialize(_plausible(_all_across(placed), classes, percent))
+        links = links.unionByName(materialize(confirmed(found, texts, size, percent)))
+    root = materialize(components(links).withColumnRenamed("node", "id"))
+
+    final = of_class.join(root.withColumnRenamed("id", "class_id"), "class_id", "left").groupBy("id").agg(F.min(F.coalesce("root", "class_id")).alias("root"))
+    out = table.select("id", "n").join(final, "id", "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("root"))
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
