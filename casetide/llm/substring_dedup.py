@@ -30,9 +30,11 @@ from pyspark.sql import functions as F
 
 from .common import NON_WORD, Words, distinct_by_row, materialize, minima, mix64, seeds, shingle_hashes, short_batches, text_bytes
 from .components import components
-from .minhash import BROADCAST_IDS, _confirm
+from .minhash import _confirm
 
 REACH, BANDS, SHINGLE, PERCENT, LEAST_WORDS = 6, 3, 5, 80, 24
+#: Bits of the filter that picks paragraphs to compare (8 MB).
+FILTER_BITS = 1 << 26
 
 _STEP = 0x9E3779B97F4A7C15 | 1
 
@@ -95,23 +97,39 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(p.hash[first], BANDS))], names=["key", "hash"])
 
 
-def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingle sets of the wanted paragraphs; column 2 lists the hashes wanted of a row."""
-    for batch, p in _parts(batches):
-        values, rows = p.shingles()
-        wanted = [set(x) for x in batch.column(2).to_pylist()]
-        found = {h: k for k, h in enumerate(p.hash.tolist()) if h in wanted[p.row[k]]}
-        blobs = [np.unique(values[rows[k] : rows[k + 1]]).tobytes() for k in found.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(blobs, pa.binary())], names=["hash", "members"])
-
-
-def _confirmed(stars: DataFrame, texts: DataFrame, places: DataFrame) -> DataFrame:
-    """The pairs (a, b) of paragraph hashes whose shingles are similar enough."""
-    needed = stars.select(F.explode(F.array("a", "b")).alias("hash")).distinct()
-    held = places.join(needed, "hash").groupBy("hash").agg(F.min("id").alias("id"))
-    lists = materialize(held.groupBy("id").agg(F.collect_list("hash").alias("wanted")))
-    lists = F.broadcast(lists) if held.count() <= BROADCAST_IDS else lists
-    members = materialize(texts.join(lists, "id").select("id", "text", "wanted").mapInArrow(_wanted, "hash long, members binary").dropDuplicates(["hash"]))
+def _filter_bits(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size with the bits of ``hashes`` set, whatever their number."""
+    bits = hashes.select(F.pmod("hash", F.lit(FILTER_BITS)).alias("bit")).groupBy(F.expr("bit DIV 32").alias("word"))
+    words = bits.agg(F.expr("bit_or(shiftleft(1L, CAST(bit % 32 AS INT)))").alias("bits")).toPandas()  # FILTER_BITS / 32 rows at most
+    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
+    return out
+
+
+def _wanted(bits: np.ndarray) -> Callable:
+    """(hash, members): shingle sets of the paragraphs whose bit is set, once a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, p in _parts(batches):
+            place = p.hash % FILTER_BITS
+            held = np.flatnonzero(bits[place >> 5] >> (place & 31).astype(np.uint32) & 1)
+            _, first = np.unique(p.hash[held], return_index=True)
+            held = held[first]
+            values, rows = p.shingles()
+            blobs = [np.unique(values[rows[k] : rows[k + 1]]).tobytes() for k in held]
+            yield pa.RecordBatch.from_arrays([pa.array(p.hash[held]), pa.array(blobs, pa.binary())], names=["hash", "members"])
+
+    return run
+
+
+def _confirmed(stars: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of paragraph hashes whose shingles are similar enough.
+
+    The paragraphs needed are taken from the texts where they are, by a filter of fixed size, so no text is shuffled.
+    """
+    needed = materialize(stars.select(F.explode(F.array("a", "b")).alias("hash")).distinct())
+    found = texts.mapInArrow(_wanted(_filter_bits(needed)), "hash long, members binary")
+    members = materialize(found.join(needed, "hash", "left_semi").dropDuplicates(["hash"]))
     for side in ("a", "b"):
         stars = stars.join(members.select(F.col("hash").alias(side), F.col("members").alias(f"members_{side}")), side)
     return stars.select("a", "b", "members_a", "members_b").mapInArrow(_confirm(PERCENT), "a long, b long")
@@ -125,7 +143,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     entries = texts.mapInArrow(_keys, "key long, hash long")
     crowded = materialize(entries.groupBy("key").agg(F.min("hash").alias("centre"), F.max("hash").alias("last")).where("centre < last").drop("last"))
     stars = materialize(entries.join(crowded, "key").where("hash <> centre").select(F.col("centre").alias("a"), F.col("hash").alias("b")).distinct())
-    root = materialize(components(_confirmed(stars, texts, places)).withColumnRenamed("node", "hash"))
+    root = materialize(components(_confirmed(stars, texts)).withColumnRenamed("node", "hash"))
 
     placed = places.join(root, "hash", "left").withColumn("cluster", F.coalesce("root", "hash")).drop("root", "hash")
     clusters = placed.groupBy("cluster").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
