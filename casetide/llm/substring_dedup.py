@@ -11,8 +11,11 @@ on average.
 2. Keys held by two different paragraphs or more join their paragraphs with the bucket's least hash, so a hot
    passage costs a pair for each variant of it, not for each occurrence.
 3. Pairs are confirmed by the exact Jaccard coefficient of their shingles, and become clusters by components.
-4. Of each cluster the first occurrence stays: the least id, in it the first place. Other occurrences that follow one
-   another in a text are one span; spans of ``LEAST_WORDS`` words or more are removed.
+4. Of each cluster the first occurrence stays: the least id, in it the first place. The others are removed.
+5. Exact passages don't depend on the cuts: every run of ``PASSAGE`` words that an earlier place holds, too (a lesser id,
+   or the same text ``PASSAGE`` words before or more), is removed to the word. Runs are compared only where the least hash of their
+   ``SEED``-word sequences occurs twice; equal runs have the same, so none is lost by it.
+6. What is removed in a text and overlaps or follows one another is one span; spans of ``LEAST_WORDS`` words or more are returned.
 
 Letters of ASCII are folded, and all but letters and digits separates words. Result: one row per span to remove. Null
 and empty texts have no paragraphs, rows without an id take no part, and a repeated row counts as a repetition
@@ -33,6 +36,8 @@ from .components import components
 from .minhash import _confirm
 
 REACH, BANDS, SHINGLE, PERCENT, LEAST_WORDS = 6, 3, 5, 80, 24
+#: Words of the exact passages that are found wherever they stand, and of the sequences that pick them.
+PASSAGE, SEED = 51, 24
 #: Bits of the filter that picks paragraphs to compare (8 MB).
 FILTER_BITS = 1 << 26
 
@@ -54,6 +59,47 @@ def paragraph_starts(hashes: np.ndarray, rows: np.ndarray, reach: int = REACH) -
     return np.flatnonzero(cut)
 
 
+class _Sequences:
+    """Hashes of word sequences of any length, in constant time each."""
+
+    def __init__(self, hashes: np.ndarray):
+        up = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(hashes), _STEP, np.uint64)]))
+        self._down = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(hashes), pow(_STEP, -1, 1 << 64), np.uint64)]))
+        self._sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * up[:-1], dtype=np.uint64)])
+
+    def __call__(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix64((self._sums[end] - self._sums[first]) * self._down[first] + (end - first).astype(np.uint64))
+
+
+class Passages:
+    """Runs of ``PASSAGE`` words of a batch of texts: first word, row, and the hash of the run's seed."""
+
+    def __init__(self, words: Words):
+        self._words, self.hash_of = words, _Sequences(words.hashes)
+        n = len(words.hashes)
+        row = np.repeat(np.arange(len(words.rows) - 1), np.diff(words.rows))
+        self.first = np.flatnonzero(row[: max(n - PASSAGE + 1, 0)] == row[PASSAGE - 1 :])
+        self.row = row[self.first]
+        self.seed = np.zeros(0, np.int64)
+        if len(self.first):
+            at = np.arange(n - SEED + 1)
+            rank = self.hash_of(at, at + SEED) >> np.uint64(32) << np.uint64(32) | at.astype(np.uint64)  # of equal ones the first
+            span, width = PASSAGE - SEED + 1, 1
+            while 2 * width <= span:
+                rank, width = np.minimum(rank[:-width], rank[width:]), 2 * width
+            rank = np.minimum(rank[: len(rank) - span + width], rank[span - width :])
+            self.seed = (rank[self.first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        self.at = self.first - words.rows[self.row]
+
+    def seeds(self) -> np.ndarray:
+        """The hashes of the seeds, one for each place."""
+        at = np.unique(self.seed)
+        return self.hash_of(at, at + SEED).view(np.int64)
+
+    def seed_hashes(self) -> np.ndarray:
+        return self.hash_of(self.seed, self.seed + SEED).view(np.int64)
+
+
 class Paragraphs:
     """Paragraphs of a batch of texts: row, place in it, words, hash and byte range, with shingles on demand."""
 
@@ -68,10 +114,8 @@ class Paragraphs:
         self.place = np.arange(len(first)) - start[self.row]
         self.lo = words.begins[first] - at[self.row] if len(first) else first
         self.hi = words.ends[self.bounds[1:] - 1] - at[self.row] if len(first) else first
-        up = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(words.hashes), _STEP, np.uint64)]))
-        down = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(words.hashes), pow(_STEP, -1, 1 << 64), np.uint64)]))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(words.hashes * up[:-1], dtype=np.uint64)])
-        self.hash = mix64((sums[self.bounds[1:]] - sums[self.bounds[:-1]]) * down[first] + self.words.astype(np.uint64)).view(np.int64)
+        self.at = first - words.rows[self.row]
+        self.hash = _Sequences(words.hashes)(first, self.bounds[1:]).view(np.int64)
 
     def shingles(self) -> tuple[np.ndarray, np.ndarray]:
         return shingle_hashes(self._hashes, self.bounds, SHINGLE)
@@ -86,8 +130,8 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, p in _parts(batches):
-        numbers = [p.place.astype(np.int32), p.hash, p.words.astype(np.int32), p.lo.astype(np.int32), p.hi.astype(np.int32)]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(p.row)), *map(pa.array, numbers)], names=["id", "place", "hash", "words", "lo", "hi"])
+        numbers = [p.hash, *(x.astype(np.int32) for x in (p.at, p.words, p.lo, p.hi))]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(p.row)), *map(pa.array, numbers)], names=["id", "hash", "at", "words", "lo", "hi"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,11 +179,59 @@ def _confirmed(stars: DataFrame, texts: DataFrame) -> DataFrame:
     return stars.select("a", "b", "members_a", "members_b").mapInArrow(_confirm(PERCENT), "a long, b long")
 
 
+def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for i in range(0, whole.num_rows, 128):
+            words = Words(*text_bytes(whole.slice(i, 128).column(1)), separators=NON_WORD)
+            yield pa.RecordBatch.from_arrays([pa.array(Passages(words).seeds())], names=["hash"])
+
+
+def _runs(bits: np.ndarray) -> Callable:
+    """(hash, id, at, lo, hi): the runs of ``PASSAGE`` words whose seed's bit is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, 128):
+                part = whole.slice(i, 128)
+                data, begins = text_bytes(part.column(1))
+                words = Words(data, begins, separators=NON_WORD)
+                p = Passages(words)
+                place = p.seed_hashes() % FILTER_BITS
+                held = np.flatnonzero(bits[place >> 5] >> (place & 31).astype(np.uint32) & 1)
+                first, row = p.first[held], p.row[held]
+                numbers = [p.at[held], words.begins[first] - begins[row], words.ends[first + PASSAGE - 1] - begins[row]]
+                hashes = p.hash_of(first, first + PASSAGE).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes), part.column(0).take(pa.array(row)), *[pa.array(x.astype(np.int32)) for x in numbers]], names=["hash", "id", "at", "lo", "hi"])
+
+    return run
+
+
+def _exact(texts: DataFrame) -> DataFrame:
+    """(id, keep_id, at, words, lo, hi): the runs of ``PASSAGE`` words that an earlier place holds, too."""
+    repeated = texts.mapInArrow(_seeds, "hash long").groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    runs = materialize(texts.mapInArrow(_runs(_filter_bits(repeated)), "hash long, id long, at int, lo int, hi int"))
+    first = runs.groupBy("hash").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    copies = runs.join(first, "hash").where((F.col("id") != F.col("first.id")) | (F.col("at") >= F.col("first.at") + PASSAGE))
+    return copies.select("id", F.col("first.id").alias("keep_id"), "at", F.lit(PASSAGE).alias("words"), "lo", "hi")
+
+
+def _spans(pieces: DataFrame) -> DataFrame:
+    """The ``pieces`` (id, keep_id, at, words, lo, hi) of each text, those that overlap or follow one another as one."""
+    order = Window.partitionBy("id").orderBy("at", "words", "keep_id")
+    before = F.max(F.col("at") + F.col("words")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    run = F.sum(F.coalesce((F.col("at") > F.col("before")).cast("int"), F.lit(1))).over(order)
+    runs = pieces.withColumn("before", before).withColumn("run", run)
+    return runs.groupBy("id", "run").agg(
+        F.min_by("keep_id", F.struct("at", "words", "keep_id")).alias("keep_id"), F.min("lo").alias("byte_from"), F.max("hi").alias("byte_to"),
+        (F.max(F.col("at") + F.col("words")) - F.min("at")).cast("long").alias("words"),
+    )
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """One row per span to remove: id, keep_id (whose text keeps its first paragraph), bytes from and to, words."""
     short_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    places = materialize(texts.mapInArrow(_places, "id long, place int, hash long, words int, lo int, hi int"))
+    places = materialize(texts.mapInArrow(_places, "id long, hash long, at int, words int, lo int, hi int"))
     entries = texts.mapInArrow(_keys, "key long, hash long")
     crowded = materialize(entries.groupBy("key").agg(F.min("hash").alias("centre"), F.max("hash").alias("last")).where("centre < last").drop("last"))
     stars = materialize(entries.join(crowded, "key").where("hash <> centre").select(F.col("centre").alias("a"), F.col("hash").alias("b")).distinct())
@@ -148,12 +240,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     placed = places.join(root, "hash", "left").withColumn("cluster", F.coalesce("root", "hash")).drop("root", "hash")
     clusters = placed.groupBy("cluster").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     occurrences = placed.join(clusters, "cluster")
-    first = Window.partitionBy("id", "cluster").orderBy("place", "lo")
+    first = Window.partitionBy("id", "cluster").orderBy("at", "lo")
     copies = occurrences.withColumn("k", F.row_number().over(first)).where("id <> keep_id OR k > 1")
-    run = F.col("place") - F.dense_rank().over(Window.partitionBy("id").orderBy("place"))
-    spans = copies.withColumn("run", run).groupBy("id", "run").agg(
-        F.min_by("keep_id", "place").alias("keep_id"), F.min("lo").alias("byte_from"), F.max("hi").alias("byte_to"), F.sum("words").alias("words")
-    )
+    spans = _spans(copies.select("id", "keep_id", "at", "words", "lo", "hi").unionByName(_exact(texts)))
     return spans.where(F.col("words") >= least_words).select(F.col("id").alias(id_col), "keep_id", "byte_from", "byte_to", "words")
 
 

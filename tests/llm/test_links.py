@@ -115,6 +115,25 @@ def test_passages(spark):
     assert substring_dedup.repeated_passages(frame(spark, [])).count() == 0
 
 
+def test_every_exact_passage_over_50_words(spark):
+    rng = random.Random(11)
+    texts, planted = [], []
+    for n in range(51, 61):
+        for k in range(8):
+            passage = " ".join(words(rng, n, 10**6))
+            planted.append((len(texts) + 1, passage))
+            texts += [" ".join([*words(rng, 7 * k, 10**6), passage, *words(rng, rng.randrange(70), 10**6)]) for _ in range(2)]
+    texts += ["same " * 60, " ".join([passage, *words(rng, 9, 10**6), passage])]
+    found = substring_dedup.repeated_passages(frame(spark, texts)).collect()
+    got = {r.doc_id: (texts[r.doc_id].encode()[r.byte_from : r.byte_to].decode(), r.words) for r in found}
+    for i, p in planted:  # a near paragraph at the edge may hold a few words more
+        assert p in got[i][0] and got[i][1] <= len(p.split()) + 8
+    assert {r.doc_id for r in found} == {i for i, _ in planted} | {len(texts) - 1}
+    assert [r.words for r in found if r.doc_id == len(texts) - 1] == [60, 60]
+    left = {r.doc_id: r.text for r in substring_dedup.without_passages(frame(spark, texts)).collect()}
+    assert all(not set(p.split()) & set(left[i].split()) and left[i - 1] == texts[i - 1] for i, p in planted)
+
+
 def test_paragraph_cuts_do_not_depend_on_the_surroundings():
     import numpy as np
 
