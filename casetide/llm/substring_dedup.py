@@ -3,7 +3,9 @@
 Quoted passages seldom begin and end at a text's own line breaks, so paragraphs are cut by content: before each
 word whose hash (with its successor's) is the least among ``REACH`` words on either side. The cuts inside a passage
 depend on the passage alone, wherever it stands; paragraphs have more than ``REACH`` words, about twice as many
-on average.
+on average. Those are too short to stay similar when a word changes, so the texts are cut three times more: into paragraphs
+of a larger reach (``LONG_REACH``), into lines, and at blank lines. Each of the four levels has clusters of its own;
+of the further levels only paragraphs of ``LEAST_WORDS`` words or more are taken.
 
 1. Each paragraph has a hash of its words and ``BANDS`` band keys, each one minimum over its five-word shingles
    (unrelated paragraphs share none, so a row a band suffices). At a similarity of 0.8 a pair is missed with
@@ -31,10 +33,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NON_WORD, Words, distinct_by_row, materialize, minima, mix64, seeds, shingle_hashes, short_batches, text_bytes
+from .common import NON_WORD, SPACE, Words, distinct_by_row, materialize, minima, mix64, seeds, shingle_hashes, short_batches, text_bytes
 from .components import components
 from .minhash import _confirm
 
+LONG_REACH = 24
 REACH, BANDS, SHINGLE, PERCENT, LEAST_WORDS = 6, 3, 5, 80, 24
 #: Words of the exact passages that are found wherever they stand, and of the sequences that pick them.
 PASSAGE, SEED = 51, 24
@@ -101,31 +104,50 @@ class Passages:
 
 
 class Paragraphs:
-    """Paragraphs of a batch of texts: row, place in it, words, hash and byte range, with shingles on demand."""
-
-    def __init__(self, column: pa.Array):
-        data, at = text_bytes(column)
-        words = Words(data, at, separators=NON_WORD)
-        first = paragraph_starts(words.hashes, words.rows)
-        self._hashes, self.bounds = words.hashes, np.append(first, len(words.hashes))
+    """Paragraphs of a batch of texts: row, first word in it, words, hash and byte range, with shingles on demand."""
+
+    def __init__(self, words: Words, at: np.ndarray, first: np.ndarray, level: int):
+        end = np.append(first[1:], len(words.hashes))
+        if level:
+            long = end - first >= LEAST_WORDS
+            first, end = first[long], end[long]
+        self.level, self._hashes, self._first, self._end = level, words.hashes, first, end
         self.row = np.searchsorted(words.rows, first, "right") - 1
-        self.words = np.diff(self.bounds)
-        start = np.searchsorted(first, words.rows[:-1])
-        self.place = np.arange(len(first)) - start[self.row]
-        self.lo = words.begins[first] - at[self.row] if len(first) else first
-        self.hi = words.ends[self.bounds[1:] - 1] - at[self.row] if len(first) else first
+        self.words = end - first
+        self.lo = words.begins[first] - at[self.row]
+        self.hi = words.ends[end - 1] - at[self.row]
         self.at = first - words.rows[self.row]
-        self.hash = _Sequences(words.hashes)(first, self.bounds[1:]).view(np.int64)
+        self.hash = mix64(_Sequences(words.hashes)(first, end) + np.uint64(level)).view(np.int64)
 
     def shingles(self) -> tuple[np.ndarray, np.ndarray]:
-        return shingle_hashes(self._hashes, self.bounds, SHINGLE)
+        own = np.repeat(self._first - np.append(0, np.cumsum(self.words)[:-1]), self.words) + np.arange(self.words.sum())
+        return shingle_hashes(self._hashes[own], np.append(0, np.cumsum(self.words)), SHINGLE)
+
+
+def line_starts(data: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The first words of lines, and those after a blank line."""
+    first = np.zeros(len(words.hashes), bool)
+    first[words.rows[:-1][np.diff(words.rows) > 0]] = True
+    blank = first.copy()
+    feeds = np.flatnonzero(data == 10)
+    if len(first):
+        after = np.searchsorted(words.begins, feeds)
+        first[after[after < len(first)]] = True
+        filled = np.cumsum(~np.isin(data, np.frombuffer(SPACE, np.uint8)))
+        after = after[:-1][filled[feeds[1:]] == filled[feeds[:-1]]]
+        blank[after[after < len(first)]] = True
+    return np.flatnonzero(first), np.flatnonzero(blank)
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Paragraphs]]:
     for whole in batches:
         for i in range(0, whole.num_rows, 128):
             part = whole.slice(i, 128)
-            yield part, Paragraphs(part.column(1))
+            data, at = text_bytes(part.column(1))
+            words = Words(data, at, separators=NON_WORD)
+            cuts = (paragraph_starts(words.hashes, words.rows), paragraph_starts(words.hashes, words.rows, LONG_REACH), *line_starts(data, words))
+            for level, first in enumerate(cuts):
+                yield part, Paragraphs(words, at, first, level)
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +159,7 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, p in _parts(batches):
         _, first = np.unique(p.hash, return_index=True)
-        keys = mix64(minima(*p.shingles(), seeds(BANDS, 41))[first] + seeds(BANDS, 43))
+        keys = mix64(minima(*p.shingles(), seeds(BANDS, 41))[first] + seeds(BANDS, 43) + np.uint64(p.level))
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(p.hash[first], BANDS))], names=["key", "hash"])
 
 

@@ -134,6 +134,23 @@ def test_every_exact_passage_over_50_words(spark):
     assert all(not set(p.split()) & set(left[i].split()) and left[i - 1] == texts[i - 1] for i, p in planted)
 
 
+def test_near_paragraphs_of_usual_length(spark):
+    rng = random.Random(13)
+    texts = []
+    for k in range(40):
+        n, changes = ((60, 1), (100, 2))[k % 2]
+        one = words(rng, n, 10**6)
+        two = list(one)
+        for c in range(changes):
+            two[n // (changes + 1) * (c + 1)] = f"new{k}x{c}"
+        if k % 4 > 1:  # over several lines
+            one[20] += "\n"
+            two[30] += "\n"
+        texts += ["\n \n".join([" ".join(words(rng, 60, 10**6)), " ".join(p), " ".join(words(rng, 60, 10**6))]) for p in (one, two)]
+    got = {r.doc_id for r in substring_dedup.repeated_passages(frame(spark, texts)).collect()}
+    assert got == set(range(1, 80, 2))
+
+
 def test_paragraph_cuts_do_not_depend_on_the_surroundings():
     import numpy as np
 
