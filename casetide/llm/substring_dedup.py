@@ -10,9 +10,12 @@ of the further levels only paragraphs of ``LEAST_WORDS`` words or more are taken
 1. Each paragraph has a hash of its words and ``BANDS`` band keys, each one minimum over its five-word shingles
    (unrelated paragraphs share none, so a row a band suffices). At a similarity of 0.8 a pair is missed with
    probability 0.2 ** BANDS. Equal paragraphs need no more than their hash.
-2. Keys held by two different paragraphs or more join their paragraphs with the bucket's least hash, so a hot
-   passage costs a pair for each variant of it, not for each occurrence.
-3. Pairs are confirmed by the exact Jaccard coefficient of their shingles, and become clusters by components.
+2. Keys held by two different paragraphs or more join their paragraphs with a few centres of the bucket, so a hot
+   passage costs pairs for each variant of it, not for each occurrence.
+3. Pairs are confirmed by the exact Jaccard coefficient of their shingles, and become clusters by components. Members of one
+   bucket that are in different components by then meet further centres, and at last one another, as in ``minhash``. Before
+   that, pairs go whose sizes, or ``PARITY`` bits that tell how many shingles fall on each an odd number of times, rule the
+   similarity out: every differing bit needs a shingle that only one side has, so none is lost by it.
 4. Of each cluster the first occurrence stays: the least id, in it the first place. The others are removed.
 5. Exact passages don't depend on the cuts: every run of ``PASSAGE`` words that an earlier place holds, too (a lesser id,
    or the same text ``PASSAGE`` words before or more), is removed to the word. Runs are compared only where the least hash of their
@@ -35,15 +38,19 @@ from pyspark.sql import functions as F
 
 from .common import NON_WORD, SPACE, Words, distinct_by_row, materialize, minima, mix64, seeds, shingle_hashes, short_batches, text_bytes
 from .components import components
-from .minhash import _confirm
+from .minhash import CENTRES, ROUNDS, _all_across, _confirm, _hop, _left, _stars
 
 LONG_REACH = 24
 REACH, BANDS, SHINGLE, PERCENT, LEAST_WORDS = 6, 3, 5, 80, 24
 #: Words of the exact passages that are found wherever they stand, and of the sequences that pick them.
 PASSAGE, SEED = 51, 24
+#: Bits of the parity sketch of a paragraph.
+PARITY = 128
 #: Bits of the filter that picks paragraphs to compare (8 MB).
 FILTER_BITS = 1 << 26
 
+_PLANES = [f"parity{k}" for k in range(PARITY // 64)]
+
 _STEP = 0x9E3779B97F4A7C15 | 1
 
 
@@ -163,6 +170,12 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(p.hash[first], BANDS))], names=["key", "hash"])
 
 
+def _parity(members: np.ndarray) -> list[int]:
+    """``PARITY`` bits in words of 64: whether an odd number of ``members`` fall on each."""
+    odd = (np.bincount((mix64(members) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).tolist()
+
+
 def _filter_bits(hashes: DataFrame) -> np.ndarray:
     """A bitmap of fixed size with the bits of ``hashes`` set, whatever their number."""
     bits = hashes.select(F.pmod("hash", F.lit(FILTER_BITS)).alias("bit")).groupBy(F.expr("bit DIV 32").alias("word"))
@@ -173,7 +186,7 @@ def _filter_bits(hashes: DataFrame) -> np.ndarray:
 
 
 def _wanted(bits: np.ndarray) -> Callable:
-    """(hash, members): shingle sets of the paragraphs whose bit is set, once a batch."""
+    """(hash, members, n, parity): shingle sets of the paragraphs whose bit is set, once a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, p in _parts(batches):
@@ -182,23 +195,54 @@ def _wanted(bits: np.ndarray) -> Callable:
             _, first = np.unique(p.hash[held], return_index=True)
             held = held[first]
             values, rows = p.shingles()
-            blobs = [np.unique(values[rows[k] : rows[k + 1]]).tobytes() for k in held]
-            yield pa.RecordBatch.from_arrays([pa.array(p.hash[held]), pa.array(blobs, pa.binary())], names=["hash", "members"])
+            sets = [np.unique(values[rows[k] : rows[k + 1]]) for k in held]
+            facts = np.array([[len(x), *_parity(x)] for x in sets], np.int64).reshape(len(sets), 1 + len(_PLANES))
+            columns = [pa.array(p.hash[held]), pa.array([x.tobytes() for x in sets], pa.binary()), *[pa.array(c.copy()) for c in facts.T]]
+            yield pa.RecordBatch.from_arrays(columns, names=["hash", "members", "n", *_PLANES])
 
     return run
 
 
-def _confirmed(stars: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of paragraph hashes whose shingles are similar enough.
+def _members(hashes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(hash, members, n, parity): the shingle sets of the paragraphs named.
 
-    The paragraphs needed are taken from the texts where they are, by a filter of fixed size, so no text is shuffled.
+    They are taken from the texts where they are, by a filter of fixed size, so no text is shuffled.
     """
-    needed = materialize(stars.select(F.explode(F.array("a", "b")).alias("hash")).distinct())
-    found = texts.mapInArrow(_wanted(_filter_bits(needed)), "hash long, members binary")
-    members = materialize(found.join(needed, "hash", "left_semi").dropDuplicates(["hash"]))
+    schema = "hash long, members binary, n long, " + ", ".join(f"{c} long" for c in _PLANES)
+    found = texts.mapInArrow(_wanted(_filter_bits(hashes)), schema)
+    return materialize(found.join(hashes, "hash", "left_semi").dropDuplicates(["hash"]))
+
+
+def _confirmed(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) of paragraph hashes whose shingles are similar enough."""
+    for side in ("a", "b"):
+        facts = [F.col(c).alias(f"{side}_{c}") for c in ("n", *_PLANES)]
+        pairs = pairs.join(members.select(F.col("hash").alias(side), *facts), side)
+    both = F.col("a_n") + F.col("b_n")
+    differ = sum(F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in _PLANES)
+    sized = 100 * F.least("a_n", "b_n") >= PERCENT * F.greatest("a_n", "b_n")
+    pairs = materialize(pairs.where(sized & (differ * (100 + PERCENT) <= both * (100 - PERCENT))).select("a", "b"))
     for side in ("a", "b"):
-        stars = stars.join(members.select(F.col("hash").alias(side), F.col("members").alias(f"members_{side}")), side)
-    return stars.select("a", "b", "members_a", "members_b").mapInArrow(_confirm(PERCENT), "a long, b long")
+        pairs = pairs.join(members.select(F.col("hash").alias(side), F.col("members").alias(f"members_{side}")), side)
+    return materialize(pairs.select("a", "b", "members_a", "members_b").mapInArrow(_confirm(PERCENT), "a long, b long"))
+
+
+def _links(crowded: DataFrame, members: DataFrame) -> DataFrame:
+    """Links (a, b) between similar members of the buckets ``crowded`` (key, id), enough to join all that belong together."""
+    placed = crowded.withColumn("root", F.col("id"))
+    links, left = None, float("inf")
+    for turn in range(ROUNDS):
+        found = _confirmed(_stars(placed, turn * CENTRES), members)
+        links = found if links is None else links.unionByName(found)
+        if turn:
+            placed = materialize(_hop(placed, found))
+        else:
+            root = components(links).withColumnRenamed("node", "id")
+            placed = materialize(crowded.join(root, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
+        before, (left, rows) = left, _left(placed)
+        if left <= rows / 4 or left > before / 2:
+            break
+    return links.unionByName(_confirmed(_all_across(placed), members)) if left else links
 
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,9 +299,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     places = materialize(texts.mapInArrow(_places, "id long, hash long, at int, words int, lo int, hi int"))
     entries = texts.mapInArrow(_keys, "key long, hash long")
-    crowded = materialize(entries.groupBy("key").agg(F.min("hash").alias("centre"), F.max("hash").alias("last")).where("centre < last").drop("last"))
-    stars = materialize(entries.join(crowded, "key").where("hash <> centre").select(F.col("centre").alias("a"), F.col("hash").alias("b")).distinct())
-    root = materialize(components(_confirmed(stars, texts)).withColumnRenamed("node", "hash"))
+    shared = entries.groupBy("key").agg(F.min("hash").alias("x"), F.max("hash").alias("y")).where("x < y").select("key")
+    crowded = materialize(entries.join(shared, "key").select("key", F.col("hash").alias("id")).distinct())
+    members = _members(materialize(crowded.select(F.col("id").alias("hash")).distinct()), texts)
+    root = materialize(components(_links(crowded, members)).withColumnRenamed("node", "hash"))
 
     placed = places.join(root, "hash", "left").withColumn("cluster", F.coalesce("root", "hash")).drop("root", "hash")
     clusters = placed.groupBy("cluster").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
