@@ -5,15 +5,16 @@ everything the driver holds or ships has a fixed bound (vocabulary x latent dime
 
 1. One pass over all texts maps words to the block's vocabulary, counts in how many documents each of its terms
    occurs (for the inverse document frequencies, over all documents), and keeps the regions in which passages of
-   ``window`` words have at least ``NEED`` of their words in the vocabulary. A passage that keeps that share of an
-   item's words has such a window, so no copy is lost by it. Regions keep word numbers, not text.
+   ``window`` words have enough of their words in the vocabulary: as many as a stretch with a share of ``PARAPHRASE`` of an item's
+   words must have in one of its windows (``needed``), so neither copy nor paraphrase is lost by it. Regions keep word numbers, not text.
 2. Randomised SVD: with A the TF-IDF matrix of all passages of the regions and of the items, each partition adds
    its part of A'(A Omega); the Nystrom form gives the leading right singular vectors from that one sketch.
 3. Each passage's latent vector is compared by cosine with those of all passages of the items, in blocks.
-4. Candidates above ``COSINE`` that share ``OVERLAP`` of the heavier passage's weight (by frequency) with the item go to the longest common
+4. Candidates above ``COSINE`` that have enough of the item's words (``needed`` of the item) go to the longest common
    subsequence of item and neighbourhood. An item whose share of common words in order reaches ``COPY`` is a
    copy; from ``PARAPHRASE`` on it is a paraphrase if the answer, too, is there to ``ANSWER``. The answer is the
-   item's last sentence, unless a column of answers is named.
+   item's last sentence, unless a column of answers is named. An item of one sentence and ``LONG`` words or more has no answer
+   apart, so its share alone decides; a shorter one is its own answer and found as a copy only, since chance has 0.6 of a few words.
 
 Result: one row per (document, item) found. Letters are folded and punctuation separates words. Null and empty
 texts match nothing; items of fewer than ``SHORTEST`` words are left out, since chance repeats them. Rows without
@@ -33,13 +34,25 @@ from pyspark.sql import functions as F
 
 from .common import NON_WORD, Words, materialize, short_batches, text_bytes
 
-BLOCK_WORDS, SHORTEST = 20_000, 5
+BLOCK_WORDS, SHORTEST, LONG = 20_000, 5, 12
 LATENT, OVERSAMPLE = 64, 8
-NEED, COSINE, OVERLAP = 0.8, 0.5, 0.5
+COSINE = 0.5
 COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
 RESULT = "doc_id long, item_id long, verdict string, lcs double, answer double, cosine double, word_at long"
 
 
+def reach_of(n: int) -> int:
+    """Words of the stretch in which an item of ``n`` words is looked for."""
+    return n + n // 4 + 1
+
+
+def needed(n: int, window: int) -> int:
+    """The item's words that one window at least holds of a stretch that has ``PARAPHRASE`` of an item of ``n`` words."""
+    whole, rest = divmod(reach_of(n), window)
+    kept = int(np.ceil(PARAPHRASE * n - 1e-9))
+    return max(1, max(m + 1 for m in range(window) if m * whole + min(m, rest) < kept))
+
+
 def lcs_length(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence, by bit-parallel rows over ``a``."""
     where: dict[int, int] = {}
@@ -61,10 +74,15 @@ class Block:
     ids: list[int]
     words: list[np.ndarray]
     answers: list[np.ndarray]
+    apart: list[bool]
     terms: np.ndarray
     window: int
     stride: int
 
+    @property
+    def need(self) -> int:
+        return min(needed(len(w), self.window) for w in self.words)
+
 
 def _hashes(texts: list[str]) -> list[np.ndarray]:
     words = Words(*text_bytes(pa.array(texts, pa.string())), separators=NON_WORD, fold=False)
@@ -76,8 +94,9 @@ def blocks(items: list[Row]) -> list[Block]:
     rows = sorted({(r.item_id, r.text, r.answer) for r in items if r.text and r.item_id is not None}, key=lambda r: (r[0], r[1]))
     answers = [r[2] or next((p for p in reversed(re.split(r"(?<=[.!?])\s+", r[1].strip())) if re.search(r"\w", p)), r[1]) for r in rows]
     words, ends = _hashes([r[1] for r in rows]), _hashes(answers)
+    apart = [bool(r[2]) or len(e) < len(w) or len(w) < LONG for r, w, e in zip(rows, words, ends, strict=True)]
     out = []
-    for least, most, window, stride in ((SHORTEST, 12, 4, 1), (12, 1 << 40, 12, 4)):
+    for least, most, window, stride in ((SHORTEST, LONG, 4, 1), (LONG, 1 << 40, 12, 4)):
         chosen = [i for i in range(len(rows)) if least <= len(words[i]) < most]
         while chosen:
             size, n = 0, 0
@@ -87,7 +106,7 @@ def blocks(items: list[Row]) -> list[Block]:
             part, chosen = chosen[:n], chosen[n:]
             terms = np.unique(np.concatenate([words[i] for i in part]))
             number = lambda h, t=terms: np.where(t[np.minimum(np.searchsorted(t, h), len(t) - 1)] == h, np.searchsorted(t, h), -1).astype(np.int32)
-            out.append(Block([rows[i][0] for i in part], [number(words[i]) for i in part], [number(ends[i]) for i in part], terms, window, stride))
+            out.append(Block([rows[i][0] for i in part], [number(words[i]) for i in part], [number(ends[i]) for i in part], [apart[i] for i in part], terms, window, stride))
     return out
 
 
@@ -112,7 +131,7 @@ class _Numbers:
 
 def _regions(block: Block) -> Callable:
     """Rows (kind, id, at, data): 'd' one of document counts for each task, 'r' one for each region."""
-    window, stride, need = block.window, block.stride, int(np.ceil(NEED * block.window))
+    window, stride, need = block.window, block.stride, block.need
     margin = max(len(w) for w in block.words) + window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,17 +224,16 @@ def _item_passages(block: Block) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _search(block: Block, matrix: np.ndarray, idf: np.ndarray) -> Callable:
-    window, stride, need = block.window, block.stride, int(np.ceil(NEED * block.window))
+    window, stride, need = block.window, block.stride, block.need
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner, words = _item_passages(block)
-        weight = np.append(idf[:-1], idf.max()).astype(np.float32)  # an unknown word counts as a rare one
         unit = lambda z: z / np.maximum(np.sqrt((z * z).sum(axis=1, keepdims=True)), 1e-9)
         targets = unit(_latent(words, matrix)).T.copy()
         member = np.zeros((len(block.ids), len(matrix)), bool)
         for i, w in enumerate(block.words):
             member[i, w] = True
-        target_weight = np.maximum(weight[words].sum(axis=1), 1e-6)
+        enough = np.array([needed(len(w), window) for w in block.words])
         item_words = [w.tolist() for w in block.words]
         answer_words = [w.tolist() for w in block.answers]
         for batch in batches:
@@ -227,8 +245,7 @@ def _search(block: Block, matrix: np.ndarray, idf: np.ndarray) -> Callable:
                 part = passages[p : p + 4096]
                 cosine = unit(_latent(part, matrix)) @ targets
                 x, y = np.divmod(np.flatnonzero(cosine >= COSINE), len(owner))
-                shared = (member[owner[y][:, None], part[x]] * weight[part[x]]).sum(axis=1) / np.maximum(weight[part[x]].sum(axis=1), target_weight[y])
-                near = np.flatnonzero(shared >= OVERLAP)
+                near = np.flatnonzero(member[owner[y][:, None], part[x]].sum(axis=1) >= enough[owner[y]])
                 where = begins[p + x[near]]
                 for k, region, begin in zip(near.tolist(), (np.searchsorted(regions, where, "right") - 1).tolist(), where.tolist(), strict=True):
                     item = int(owner[y[k]])  # one look for each item and neighbourhood
@@ -240,7 +257,7 @@ def _search(block: Block, matrix: np.ndarray, idf: np.ndarray) -> Callable:
                 if best.get(place, (0.0,))[0] == 1.0:
                     continue
                 own = term[regions[region] : regions[region + 1] - window]
-                half, reach = max(1, len(a) // 2), len(a) + len(a) // 4 + 1
+                half, reach = max(1, len(a) // 2), reach_of(len(a))
                 for s in range(max(0, (spot - 2) * half), (spot + 1) * half + 1, max(1, len(a) // 8)):
                     stretch = own[s : s + reach].tolist()
                     share = lcs_length(a, stretch) / len(a)
@@ -250,7 +267,7 @@ def _search(block: Block, matrix: np.ndarray, idf: np.ndarray) -> Callable:
             found = [
                 (docs[region], block.ids[item], "copy" if share >= COPY else "paraphrase", share, answer, value, places[region] + spot)
                 for (region, item), (share, answer, value, spot) in best.items()
-                if share >= COPY or answer >= ANSWER
+                if share >= COPY or answer >= ANSWER or not block.apart[item]
             ]
             names = [c.split()[0] for c in RESULT.split(", ")]
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
@@ -261,7 +278,7 @@ def _search(block: Block, matrix: np.ndarray, idf: np.ndarray) -> Callable:
 
 
 def _sketch(block: Block, weighted: np.ndarray, idf: np.ndarray) -> Callable:
-    window, need = block.window, int(np.ceil(NEED * block.window))
+    window, need = block.window, block.need
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(weighted.shape, np.float32)

@@ -216,3 +216,22 @@ def test_leaks(spark):
     assert decontam.find_leaks(frame(spark, []), benchmark).count() == 0
     assert decontam.find_leaks(frame(spark, texts), benchmark.limit(0)).count() == 0
     assert sorted(r.doc_id for r in decontam.drop_leaks(frame(spark, texts[:4]), benchmark).collect()) == [3]
+
+
+def test_every_paraphrase_is_found(spark):
+    rng = random.Random(19)
+    items = [" ".join(words(rng, 18 + i, 4000)) + ". " + " ".join(words(rng, 5, 4000)) + "." for i in range(8)]
+    items += [" ".join(words(rng, 20 + i, 4000)) + "." for i in range(8)]  # no answer apart
+    texts, want = [], set()
+    for share in (0.6, 0.7, 0.75):
+        for i, item in enumerate(items):
+            w = item.split()
+            free = len(w) - 5 if i < 8 else len(w)
+            gone = len(w) - -int(-share * len(w) // 1)
+            for k in range(gone):
+                w[int(k * free / gone)] = f"other{k}"
+            want.add((len(texts), i))
+            texts.append(" ".join(f"z{rng.randrange(10**6)}" for _ in range(50)) + " " + " ".join(w))
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.verdict for r in decontam.find_leaks(frame(spark, texts), benchmark).collect()}
+    assert got == dict.fromkeys(want, "paraphrase")
