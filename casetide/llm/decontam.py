@@ -252,13 +252,18 @@ def _search(block: Block, matrix: np.ndarray, idf: np.ndarray) -> Callable:
                     spot = (region, item, (begin - int(regions[region])) // max(1, len(item_words[item]) // 2))
                     pairs[spot] = max(pairs.get(spot, 0.0), float(cosine[x[k], y[k]]))
             best: dict[tuple[int, int], tuple] = {}
+            held: dict[tuple[int, int], np.ndarray] = {}
             for (region, item, spot), value in pairs.items():
                 a, place = item_words[item], (region, item)
                 if best.get(place, (0.0,))[0] == 1.0:
                     continue
                 own = term[regions[region] : regions[region + 1] - window]
                 half, reach = max(1, len(a) // 2), reach_of(len(a))
-                for s in range(max(0, (spot - 2) * half), (spot + 1) * half + 1, max(1, len(a) // 8)):
+                if place not in held:  # how many words before each are the item's
+                    held[place] = np.append(0, np.cumsum(member[item, own]))
+                starts = np.arange(max(0, (spot - 2) * half), min((spot + 1) * half + 1, len(own)), max(1, len(a) // 8))
+                inside = held[place][np.minimum(starts + reach, len(own))] - held[place][starts]
+                for s in starts[inside >= PARAPHRASE * len(a) - 1e-9].tolist():  # fewer can't hold a subsequence that long
                     stretch = own[s : s + reach].tolist()
                     share = lcs_length(a, stretch) / len(a)
                     if share >= PARAPHRASE and share > best.get(place, (0.0,))[0]:
