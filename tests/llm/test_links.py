@@ -235,3 +235,17 @@ def test_every_paraphrase_is_found(spark):
     benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.verdict for r in decontam.find_leaks(frame(spark, texts), benchmark).collect()}
     assert got == dict.fromkeys(want, "paraphrase")
+
+
+def test_copies_of_short_items(spark):
+    rng = random.Random(23)
+    items, texts = [], []
+    for n, places in ((7, [3]), (5, [2]), (10, [3, 7])):
+        w = words(rng, n, 4000)
+        items.append(" ".join(w))
+        for k in places:
+            w[k] = f"other{k}"
+        texts.append(" ".join([f"z{rng.randrange(10**6)}" for _ in range(30)] + w + [f"z{rng.randrange(10**6)}" for _ in range(30)]))
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.verdict for r in decontam.find_leaks(frame(spark, texts), benchmark).collect()}
+    assert got == {(i, i): "copy" for i in range(3)}
