@@ -9,9 +9,8 @@
 4. Candidates must fit in size and pass the similarity that bit counts of the signatures estimate, corrected for
    chance collisions of two bits (the bound lies 4.5 standard deviations below the threshold: 3e-6).
 5. What is left is confirmed on the full sets, in whole numbers, and linked classes become components.
-6. Members of one bucket that are in different components by then meet further centres, as long as many pairs are left
-   and each round at least halves them. At last all of them are paired with one another and go through 4 and 5 too, so no
-   link is lost to the choice of centres.
+6. Members of a bucket that are in different components by then are told apart by what each differs in from one centre
+   of the bucket (see ``rivals``): exact links come out of it, whatever the choice of centres, and no list of all pairs.
 
 With 32 bands of five rows a pair at the threshold of 0.8 is missed with probability 3e-6.
 
@@ -26,7 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, distinct_by_row, materialize, minima, mix64, seeds, shingle_hashes, short_batches, text_bytes
@@ -36,8 +35,8 @@ BANDS, ROWS = 32, 5
 #: Minima of the signature (those of the bands among them), and 64-bit words of one plane of it.
 MINIMA = 512
 PLANE = MINIMA // 64
-#: Centres of a bucket in one round, and rounds of further centres at most.
-CENTRES, ROUNDS = 4, 4
+#: Centres of a bucket.
+CENTRES = 4
 #: Ids broadcast at most (16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 #: Standard deviations that the estimate may lie below the threshold.
@@ -115,6 +114,13 @@ def _set_table(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, members binary")
 
 
+def sets_of(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(id, members) of the documents whose ``id`` is in ``ids``. ``docs``: (id, text), one row an id."""
+    ids = materialize(ids.select("id").distinct())
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return materialize(_set_table(docs.join(ids, "id", "left_semi"), size))
+
+
 def _confirm(percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,47 +154,86 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     ).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The ``pairs`` (a, b) whose full sets are similar enough. ``docs``: (id, text), one row an id."""
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    members = materialize(_set_table(docs.join(ids, "id", "left_semi"), size))
-    for side in ("a", "b"):
+def with_members(pairs: DataFrame, members: DataFrame, sides: tuple[str, str] = ("a", "b")) -> DataFrame:
+    """``pairs`` with the sets of both sides; ``members``: (id, members)."""
+    for side in sides:
         pairs = pairs.join(members.select(F.col("id").alias(side), F.col("members").alias(f"members_{side}")), side)
-    return pairs.select("a", "b", "members_a", "members_b").mapInArrow(_confirm(percent), "a long, b long")
+    return pairs
 
 
-def _stars(placed: DataFrame, salt: int) -> DataFrame:
-    """(a, b): members of a bucket and its centres, of different components. ``placed``: (key, id, root)."""
-    first = [F.min(F.struct((F.xxhash64("id", F.lit(salt + k)) if salt + k else F.col("id")).alias("order"), "id", "root")).alias(f"c{k}") for k in range(CENTRES)]
-    centres = placed.groupBy("key").agg(*first, F.min("root").alias("x"), F.max("root").alias("y")).where("x < y")
-    met = placed.join(centres.select("key", F.array_distinct(F.array(*[F.struct(f"c{k}.id", f"c{k}.root") for k in range(CENTRES)])).alias("centres")), "key")
-    met = met.select("id", "root", F.explode("centres").alias("c")).where("root <> c.root")
-    return met.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
+def confirmed(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b) whose full sets are similar enough."""
+    return with_members(pairs, members).select("a", "b", "members_a", "members_b").mapInArrow(_confirm(percent), "a long, b long")
 
 
-def _all_across(placed: DataFrame) -> DataFrame:
-    """(a, b): all members of a bucket that are in different components."""
-    other = placed.select("key", F.col("id").alias("b"), F.col("root").alias("root_b"))
-    pairs = placed.withColumnsRenamed({"id": "a", "root": "root_a"}).join(other, "key").where("root_a < root_b")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def stars(placed: DataFrame) -> DataFrame:
+    """(a, b): members of a bucket and its centres. ``placed``: (key, id)."""
+    first = [F.min(F.struct((F.xxhash64("id", F.lit(k)) if k else F.col("id")).alias("order"), "id")).alias(f"c{k}") for k in range(CENTRES)]
+    centres = placed.groupBy("key").agg(*first).select("key", F.array_distinct(F.array(*[F.col(f"c{k}.id") for k in range(CENTRES)])).alias("centres"))
+    met = placed.join(centres, "key").select("id", F.explode("centres").alias("c")).where("id <> c")
+    return met.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
 
 
-def _hop(placed: DataFrame, found: DataFrame) -> DataFrame:
-    """``placed`` with each root moved to the least root that a link of ``found`` (a, b) joins it to: one hop, which
-    is all that's needed to tell most pairs apart before the final components."""
-    at = placed.select("id", "root").distinct()
-    for side in ("a", "b"):
-        found = found.join(at.select(F.col("id").alias(side), F.col("root").alias(f"root_{side}")), side)
-    moves = found.where("root_a <> root_b").groupBy(F.greatest("root_a", "root_b").alias("root")).agg(F.min(F.least("root_a", "root_b")).alias("to"))
-    return placed.join(moves, "root", "left").select("key", "id", F.coalesce("to", "root").alias("root"))
+def _deltas(percent: int) -> Callable:
+    """(id, c, root, home, n, d, base, near, delta): the members of a set that its centre's hasn't, and the other way round."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, deltas = [], []
+            for x, y in zip(batch.column(4), batch.column(5), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                deltas.append(np.setxor1d(x, y, assume_unique=True))
+                sizes.append((len(x), len(deltas[-1]), len(y)))
+            n, d, base = np.array(sizes, np.int64).reshape(-1, 3).T.copy()
+            near = (100 + percent) * d <= (100 - percent) * (n + base)
+            offsets = pa.array(np.append(0, np.cumsum(d)).astype(np.int32))
+            flat = np.concatenate(deltas).view(np.int64) if deltas else np.zeros(0, np.int64)
+            columns = [*batch.columns[:4], *map(pa.array, (n, d, base, near)), pa.ListArray.from_arrays(offsets, pa.array(flat))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "c", "root", "home", "n", "d", "base", "near", "delta"])
+
+    return run
 
 
-def _left(placed: DataFrame) -> tuple[int, int]:
-    """How many pairs of different components the buckets hold, and how many members such buckets have."""
-    sizes = placed.groupBy("key", "root").count().groupBy("key").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"), F.count(F.lit(1)).alias("parts"))
-    row = sizes.where("parts > 1").agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.sum("n")).first()
-    return int(row[0] or 0), int(row[1] or 0)
+def rivals(placed: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Links (a, b) of similar members of one bucket that are in different components, or links that join them.
+
+    ``placed``: (key, id, root); ``sets``: a function from ids to (id, members).
+
+    A bucket's centre c is the least member of its largest component. With D(x) the members that x or c has, but not
+    both, x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| members. Two that are similar to c are linked by it. Of any
+    other pair one, x, isn't similar to c, and then sizes alone tell how many members D(x) and D(y) must share at least.
+    So they share one of the rarest of D(y), as many as D(y) may lack and one more, and one of the rarest of D(x); and
+    from the place of the first shared one in the common order, rarest first, so many must still be left in both.
+    Members that c and its variants have in common are in no D, and what one variant has of its own is shared by none: pairs that
+    meet are few even where a bucket is large and its members are nearly similar enough. No link is lost.
+    """
+    parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("c"))
+    centres = materialize(parts.groupBy("key").agg(F.max_by(F.struct("c", F.col("root").alias("home")), F.struct("n", -F.col("c"))).alias("at"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "at.*"))
+    pairs = materialize(placed.join(centres, "key").where("id <> c").select("id", "c", "root", "home").distinct())
+    members = sets(pairs.select("id").unionByName(pairs.select(F.col("c").alias("id"))))
+    given = with_members(pairs.withColumn("a", F.col("id")).withColumn("b", F.col("c")), members).select("id", "c", "root", "home", "members_a", "members_b")
+    deltas = materialize(given.mapInArrow(_deltas(percent), "id long, c long, root long, home long, n long, d long, base long, near boolean, delta array<long>"))
+    links = deltas.where("near AND root <> home").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"))
+
+    elements = deltas.select("c", "id", F.explode("delta").alias("e"))
+    common = elements.groupBy("c", "e").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    order = Window.partitionBy("c", "id").orderBy("f", "e")
+    rank, shared = F.row_number().over(order), F.count(F.lit(1)).over(Window.partitionBy("c", "id"))
+    less, more = 100 - percent, 100 + percent
+    least = F.greatest(F.lit(1), F.ceil((less * F.col("base") + more * F.col("d") - less * F.col("n")) / (2 * more)))
+    lacking = F.floor(less * F.col("n") / percent)
+    ranked = elements.join(common, ["c", "e"]).withColumns({"rank": rank, "shared": shared}).join(deltas.drop("delta"), ["c", "id"])
+    ranked = ranked.withColumn("at", F.col("d") - F.col("shared") + F.col("rank")).withColumn("within", F.least(lacking + 1, F.col("d")))
+    facts = ["id", "root", "n", "d", "at", "near"]
+    probe = ranked.where("NOT near AND at <= within").select("c", "e", *[F.col(k).alias(f"x_{k}") for k in facts])
+    index = ranked.where(F.col("at") <= F.least("within", F.col("d") - least + 1)).select("c", "e", *[F.col(k).alias(f"y_{k}") for k in facts])
+    apart = (F.col("x_root") != F.col("y_root")) & (F.col("y_near") | (F.col("x_id") < F.col("y_id")))
+    sized = 100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")
+    left = 1 + F.least(F.col("x_d") - F.col("x_at"), F.col("y_d") - F.col("y_at"))
+    enough = 2 * more * left >= more * (F.col("x_d") + F.col("y_d")) - less * (F.col("x_n") + F.col("y_n"))
+    met = probe.join(index, ["c", "e"]).where(apart & sized & enough)
+    met = materialize(met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct())
+    return links.unionByName(materialize(confirmed(met, members, percent)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2, percent: int = 80) -> DataFrame:
@@ -205,24 +250,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     entries = classes.select("id", F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("key")
     crowded = materialize(entries.join(shared, "key"))
-    placed = crowded.withColumn("root", F.col("id"))
-    links, pairs = None, float("inf")
-    for turn in range(ROUNDS):
-        found = materialize(_plausible(_stars(placed, turn * CENTRES), classes, percent))
-        found = materialize(confirmed(found, texts, size, percent))
-        links = found if links is None else links.unionByName(found)
-        if turn:
-            placed = materialize(_hop(placed, found))
-        else:
-            root = components(links).withColumnRenamed("node", "id")
-            placed = materialize(crowded.join(root, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
-        before, (pairs, rows) = pairs, _left(placed)
-        if pairs <= rows / 4 or pairs > before / 2:
-            break
-    if pairs:
-        found = materialize(_plausible(_all_across(placed), classes, percent))
-        links = links.unionByName(materialize(confirmed(found, texts, size, percent)))
-    root = materialize(components(links).withColumnRenamed("node", "id"))
+    sets = lambda ids: sets_of(ids, texts, size)
+    met = materialize(_plausible(stars(crowded), classes, percent))
+    found = materialize(confirmed(met, sets(met.select(F.explode(F.array("a", "b")).alias("id"))), percent))
+    root = components(found).withColumnRenamed("node", "id")
+    placed = materialize(crowded.join(root, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
+    root = materialize(components(found.unionByName(rivals(placed, sets, percent))).withColumnRenamed("node", "id"))
 
     final = of_class.join(root.withColumnRenamed("id", "class_id"), "class_id", "left").groupBy("id").agg(F.min(F.coalesce("root", "class_id")).alias("root"))
     out = table.select("id", "n").join(final, "id", "left")
@@ -234,7 +267,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` of which one per component stays, the least id; columns unchanged."""
+    """The rows of ``docs`` of which one per component stays, the least id; columns unchanged.
+
+    Rows without an id stay, and so do rows that share an id with another: their id doesn't tell which text it names.
+    """
     groups = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col, size, percent)
-    gone = groups.where(~F.col("kept")).select(F.col(id_col).alias("__gone")).distinct()
+    gone = groups.groupBy(F.col(id_col).alias("__gone")).agg(F.count(F.lit(1)).alias("n"), F.every("kept").alias("kept")).where("n = 1 AND NOT kept").select("__gone")
     return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
