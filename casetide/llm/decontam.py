@@ -3,10 +3,11 @@
 The benchmark is the stated query set; it is taken in blocks of items with at most ``BLOCK_WORDS`` words, so
 everything the driver holds or ships has a fixed bound (vocabulary x latent dimensions).
 
-1. One pass over all texts maps words to the block's vocabulary, counts in how many documents each of its terms
-   occurs (for the inverse document frequencies, over all documents), and keeps the regions in which passages of
-   ``window`` words have enough of their words in the vocabulary: as many as a stretch with a share of ``PARAPHRASE`` of an item's
-   words must have in one of its windows (``needed``), so neither copy nor paraphrase is lost by it. Regions keep word numbers, not text.
+1. One pass over all texts counts in how many documents each word of the block occurs (for the inverse document
+   frequencies, over all documents). Then the rarest words of each item are its keys: so many that a stretch with a share of
+   ``PARAPHRASE`` of the item's words, in order, must hold ``HITS`` of them. A second pass keeps the regions around
+   stretches that hold as many keys of one item, so neither copy nor paraphrase is lost by it. Regions keep word
+   numbers, not text.
 2. Randomised SVD: with A the TF-IDF matrix of all passages of the regions and of the items, each partition adds
    its part of A'(A Omega); the Nystrom form gives the leading right singular vectors from that one sketch.
 3. Each passage's latent vector is compared by cosine with those of all passages of the items, in blocks.
@@ -36,6 +37,8 @@ from .common import NON_WORD, Words, materialize, short_batches, text_bytes
 
 BLOCK_WORDS, SHORTEST, LONG = 20_000, 5, 12
 LATENT, OVERSAMPLE = 64, 8
+#: Keys of an item that a stretch holds at least; no more than the words that ``PARAPHRASE`` keeps of the shortest item.
+HITS = 3
 COSINE = 0.5
 COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
 RESULT = "doc_id long, item_id long, verdict string, lcs double, answer double, cosine double, word_at long"
@@ -46,10 +49,15 @@ def reach_of(n: int) -> int:
     return n + n // 4 + 1
 
 
+def kept_of(n: int) -> int:
+    """Words that a paraphrase keeps at least of an item of ``n`` words."""
+    return int(np.ceil(PARAPHRASE * n - 1e-9))
+
+
 def needed(n: int, window: int) -> int:
     """The item's words that one window at least holds of a stretch that has ``PARAPHRASE`` of an item of ``n`` words."""
     whole, rest = divmod(reach_of(n), window)
-    kept = int(np.ceil(PARAPHRASE * n - 1e-9))
+    kept = kept_of(n)
     return max(1, max(m + 1 for m in range(window) if m * whole + min(m, rest) < kept))
 
 
@@ -129,50 +137,84 @@ class _Numbers:
         return out
 
 
-def _regions(block: Block) -> Callable:
-    """Rows (kind, id, at, data): 'd' one of document counts for each task, 'r' one for each region."""
-    window, stride, need = block.window, block.stride, block.need
-    margin = max(len(w) for w in block.words) + window
+def _frequencies(block: Block) -> Callable:
+    """(term, n): in how many documents of the task each term occurs, and at the number after the last how many there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = _Numbers(block.terms)
-        counts, seen = np.zeros(len(block.terms), np.int64), 0
-        schema = pa.schema([("kind", pa.string()), ("id", pa.int64()), ("at", pa.int64()), ("data", pa.binary())])
+        numbers, size = _Numbers(block.terms), len(block.terms)
+        counts = np.zeros(size + 1, np.int64)
         for batch in (whole.slice(i, 100) for whole in batches for i in range(0, whole.num_rows, 100)):
             words = Words(*text_bytes(batch.column(1)), separators=NON_WORD, fold=False)
             term = numbers(words.hashes)
             row = np.repeat(np.arange(batch.num_rows), np.diff(words.rows))
             inside = term >= 0
-            pairs = np.unique(row[inside] * len(counts) + term[inside])
-            counts += np.bincount(pairs % len(counts), minlength=len(counts))
-            seen += batch.num_rows
-            sums = np.concatenate([[0], np.cumsum(inside)])
-            begin = np.arange(0, max(len(term) - window + 1, 0))
-            enough = begin[(sums[window:] - sums[: len(begin)] >= need) & (row[: len(begin)] == row[window - 1 :])] if len(begin) else begin
-            found = []
-            if len(enough):
-                last = np.append(np.flatnonzero((np.diff(enough) > 2 * margin) | (np.diff(row[enough]) > 0)), len(enough) - 1)
-                first = np.append(0, last[:-1] + 1)
-                for a, b in zip(enough[first], enough[last], strict=True):
-                    lo, hi = words.rows[row[a]], words.rows[row[a] + 1]
-                    a, b = max(a - margin, lo), min(b + window + margin, hi)
-                    found.append(("r", batch.column(0)[int(row[a])].as_py(), int(a - lo), term[a:b].tobytes()))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
-        yield pa.RecordBatch.from_arrays([pa.array(["d"]), pa.array([seen], pa.int64()), pa.array([0], pa.int64()), pa.array([counts.tobytes()], pa.binary())], schema=schema)
+            counts[:size] += np.bincount(np.unique(row[inside] * size + term[inside]) % size, minlength=size)
+            counts[size] += batch.num_rows
+        used = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["term", "n"])
 
     return run
 
 
-def _unpack_counts(n_terms: int) -> Callable:
+@dataclass
+class Keys:
+    """The key words of a block's items: hashes in order, and the items of word k at first[k] to first[k + 1]."""
+
+    terms: np.ndarray
+    first: np.ndarray
+    items: np.ndarray
+    reach: np.ndarray
+
+
+def keys_of(block: Block, frequency: np.ndarray) -> Keys:
+    """Of any ``kept_of(n)`` words of an item of n words, ``HITS`` are among its ``n - kept_of(n) + HITS`` rarest."""
+    pairs = set()
+    for i, words in enumerate(block.words):
+        rarest = np.argsort(frequency[words], kind="stable")[: len(words) - kept_of(len(words)) + HITS]
+        pairs |= {(int(t), i) for t in words[rarest]}
+    term, items = np.array(sorted(pairs), np.int64).T.copy()
+    used, first = np.unique(term, return_index=True)
+    return Keys(block.terms[used], np.append(first, len(term)), items, np.array([reach_of(len(w)) for w in block.words]))
+
+
+def stretches(place: np.ndarray, item: np.ndarray, row: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, item) of ``HITS`` keys of one item, one after the other, that lie in one row within its reach."""
+    order = np.lexsort((place, item))
+    place, item = place[order], item[order]
+    n = max(len(place) - HITS + 1, 0)
+    first, last = place[:n], place[HITS - 1 :] if n else place[:0]
+    near = (item[:n] == item[len(item) - n :]) & (last - first < reach[item[:n]])
+    near[near] = row[first[near]] == row[last[near]]
+    return first[near], last[near], item[:n][near]
+
+
+def _regions(block: Block, keys: Keys) -> Callable:
+    """(id, at, data): the word numbers of the stretches in which an item may be, from word ``at`` of the text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros(n_terms, np.int64), 0
-        for batch in batches:
-            for blob, n in zip(batch.column(1), batch.column(0).to_pylist(), strict=True):
-                total += np.frombuffer(blob.as_buffer(), np.int64)
-                seen += n
-        numbers = np.append(np.flatnonzero(total), n_terms)
-        yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(np.append(total, seen)[numbers])], names=["term", "n"])
+        numbers, key_numbers = _Numbers(block.terms), _Numbers(keys.terms)
+        many = np.diff(keys.first)
+        for batch in (whole.slice(i, 100) for whole in batches for i in range(0, whole.num_rows, 100)):
+            words = Words(*text_bytes(batch.column(1)), separators=NON_WORD, fold=False)
+            key = key_numbers(words.hashes)
+            place = np.flatnonzero(key >= 0)
+            key = key[place]
+            stops = np.cumsum(many[key])
+            item = keys.items[np.repeat(keys.first[key] - stops + many[key], many[key]) + np.arange(stops[-1] if len(stops) else 0)]
+            row = np.repeat(np.arange(batch.num_rows), np.diff(words.rows))
+            first, last, item = stretches(np.repeat(place, many[key]), item, row, keys.reach)
+            if not len(first):
+                continue
+            around = keys.reach[item] + block.window
+            lo = np.maximum(last - around, words.rows[row[first]])
+            hi = np.minimum(first + around, words.rows[row[first] + 1])
+            order = np.argsort(lo, kind="stable")
+            lo, hi = lo[order], np.maximum.accumulate(hi[order])
+            new = np.append(True, lo[1:] >= hi[:-1])
+            lo, hi = lo[new], hi[np.append(np.flatnonzero(new)[1:], len(hi)) - 1]
+            data = [numbers(words.hashes[a:b]).tobytes() for a, b in zip(lo, hi, strict=True)]
+            columns = [batch.column(0).take(pa.array(row[lo])), pa.array(lo - words.rows[row[lo]]), pa.array(data, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "at", "data"])
 
     return run
 
@@ -311,16 +353,15 @@ def right_vectors(sketch: np.ndarray, omega: np.ndarray, k: int) -> np.ndarray:
 
 def _search_block(docs: DataFrame, block: Block) -> DataFrame:
     n = len(block.terms)
-    rows = materialize(docs.mapInArrow(_regions(block), "kind string, id long, at long, data binary"))
-    counted = rows.where("kind = 'd'").select("id", "data").mapInArrow(_unpack_counts(n), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     frequency = np.zeros(n + 1)
+    counted = docs.mapInArrow(_frequencies(block), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     for r in counted.toLocalIterator():  # at most one row for each term of the block
         frequency[r.term] = r.n
+    regions = materialize(docs.mapInArrow(_regions(block, keys_of(block, frequency)), "id long, at long, data binary"))
     idf = np.append(np.log((frequency[n] + 1) / (frequency[:n] + 1)) + 0.1, 0).astype(np.float32)
     width = min(LATENT + OVERSAMPLE, n)
     omega = np.linalg.qr(np.random.default_rng(3).normal(size=(n, width)))[0]
     weighted = np.vstack([omega, np.zeros(width)]).astype(np.float32) * idf[:, None]
-    regions = rows.where("kind = 'r'")
     names = [f"y{k}" for k in range(width)]
     sums = regions.select("data").mapInArrow(_sketch(block, weighted, idf), "term long, " + ", ".join(f"{c} double" for c in names))
     table = sums.groupBy("term").agg(*[F.sum(c).alias(c) for c in names]).toPandas()  # a row for each term at most
@@ -330,7 +371,7 @@ def _search_block(docs: DataFrame, block: Block) -> DataFrame:
     sketch[table["term"].to_numpy()] += table[names].to_numpy()
     vectors = right_vectors(sketch, omega, LATENT)
     matrix = np.vstack([vectors, np.zeros(vectors.shape[1])]).astype(np.float32) * idf[:, None]
-    return regions.select("id", "at", "data").mapInArrow(_search(block, matrix, idf), RESULT)
+    return regions.mapInArrow(_search(block, matrix, idf), RESULT)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", answer_col: str | None = None) -> DataFrame:
