@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, shared_folder, short_batches, text_bytes
-from .tokens import Encoder
+from .tokens import encoder
 
 BLOCK_CHARS = 12_000_000
 MASS = 64.0
@@ -44,7 +44,7 @@ RESULT = "doc_id long, n_tokens long, target_loss double, background_loss double
 
 def _encode(path: str) -> Callable:
     def run(docs: pa.Table, labels: pa.Table) -> pa.Table:
-        encode = Encoder(path)
+        encode = encoder(path)
         good = set(labels.column("id").to_pylist())
         ids = docs.column("id").to_pylist()
         pieces, counts = [], []

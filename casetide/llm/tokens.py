@@ -16,10 +16,12 @@ come first. Rows of one id are ordered by a hash of their text. An empty table g
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
+from functools import cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, short_batches, text_bytes
+from .common import materialize, mix64, short_batches, text_bytes
 
 END_ID = 2
 SHARD_TOKENS = 1 << 18
 #: Bits between two counts of the directory.
 BLOCK = 512
-#: Pieces kept with their ids, in each worker.
-REMEMBERED = 1_000_000
+#: Pieces kept with their ids, in each worker; bits of a place in their table (80 MB); words encoded as one text.
+REMEMBERED, SLOT_BITS, JOINED = 1_000_000, 22, 2_000
 MAGIC = b"WVLTMTX1"
 
 
@@ -166,11 +168,86 @@ _KIND = np.array([0 if i in (32, 9, 10, 11, 12, 13) else 3 if i > 127 else 1 if
 _LOWER = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8)
 
 
+#: The tokenizer in whose vocabulary pieces can be looked up (fixed values of its file).
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD_END = "</w>"
+
+
+def splits_at_pieces(tokenizer) -> bool:
+    """Whether the tokenizer folds letters, drops white space and ends a token wherever ``Encoder`` cuts pieces."""
+    spec = json.loads(tokenizer.to_str())
+    split = {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}
+    before = spec["pre_tokenizer"] or {}
+    return (
+        (spec["normalizer"] or {}).get("normalizers") == _NORMALIZERS
+        and before.get("pretokenizers", [])[:1] == [split]
+        and [x["type"] for x in before["pretokenizers"][1:]] == ["ByteLevel"]
+        and not (before["pretokenizers"][1]["add_prefix_space"] or before["pretokenizers"][1]["use_regex"])
+        and spec["model"]["type"] == "BPE"
+        and spec["model"].get("end_of_word_suffix") == _WORD_END
+        and spec["truncation"] is None
+        and all(x["content"].startswith("<|") and not x["normalized"] for x in spec["added_tokens"])
+    )
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """The process's own encoder of a tokenizer file: what one task has learned serves the next."""
+    return Encoder(path)
+
+
+class _Table:
+    """Numbers of short byte strings, packed in two integers each with their length, by open addressing."""
+
+    MOST = 15
+
+    def __init__(self) -> None:
+        self.low, self.high = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.uint64)
+        self.number = np.full(1 << SLOT_BITS, -1, np.int32)
+
+    @staticmethod
+    def packed(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``data`` ends with 16 bytes more than the strings need."""
+        at = np.ndarray(len(data) - 8, "<u8", data, strides=(1,))
+        return at[begin] & _FIRST_BYTES[np.minimum(size, 8)], at[begin + 8] & _FIRST_BYTES[np.clip(size - 8, 0, 7)] | size.astype(np.uint64) << np.uint64(56)
+
+    @staticmethod
+    def _slots(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return (mix64(low ^ high * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The numbers, -1 for those that aren't there."""
+        slot, out, open_ = self._slots(low, high), np.full(len(low), -1, np.int32), np.arange(len(low))
+        while len(open_):
+            number = self.number[slot]
+            used = number >= 0
+            same = used & (self.low[slot] == low[open_]) & (self.high[slot] == high[open_])
+            out[open_[same]] = number[same]
+            on = used & ~same
+            open_, slot = open_[on], slot[on] + 1 & (1 << SLOT_BITS) - 1
+        return out
+
+    def put(self, low: np.ndarray, high: np.ndarray, number: np.ndarray) -> None:
+        """Strings that differ from one another and from those that are there."""
+        slot, open_ = self._slots(low, high), np.arange(len(low))
+        while len(open_):
+            free = self.number[slot] < 0
+            self.number[slot[free]] = number[open_[free]]
+            won = self.number[slot] == number[open_]
+            self.low[slot[won]], self.high[slot[won]] = low[open_[won]], high[open_[won]]
+            open_, slot = open_[~won], slot[~won] + 1 & (1 << SLOT_BITS) - 1
+
+
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 class Encoder:
-    """Ids of whole texts, by looking up their pieces. One for each worker.
+    """Ids of whole texts, by looking up their pieces.
 
-    In this vocabulary a token ends at white space and where an ASCII letter meets another ASCII sign, and letters are
-    folded, so pieces between such places, folded, have the ids they have in the text.
+    Where ``splits_at_pieces`` holds, a token ends at white space and where an ASCII letter meets another ASCII sign, and
+    letters are folded, so pieces between such places, folded, have the ids they have in the text. Any other
+    tokenizer encodes whole texts.
     """
 
     def __init__(self, path: str):
@@ -178,61 +255,104 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._clear()
-
-    def _clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.flat = np.zeros(1 << 20, np.uint32)
-        self.ends = np.zeros(REMEMBERED + 1, np.int64)
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        known = len(self.number)
-        stops = self.ends[known] + np.cumsum(sizes)
-        while known + len(found) >= len(self.ends):
+        self.by_pieces = splits_at_pieces(self.tokenizer)
+        words = self.tokenizer.get_vocab() if self.by_pieces else {}
+        self._ends_word = np.zeros(1 + max(words.values(), default=0), bool)
+        self._ends_word[[i for w, i in words.items() if w.endswith(_WORD_END)]] = True
+        self.short, self.long = _Table(), {}
+        self.n = 0  # pieces known; the ids of piece k are flat[ends[k]:ends[k + 1]]
+        self.flat, self.ends = np.zeros(1 << 20, np.uint32), np.zeros(REMEMBERED + 1, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the pieces met first: frequent ones are among them."""
+        self.n = REMEMBERED // 2
+        old, self.short = self.short, _Table()
+        kept = (old.number >= 0) & (old.number < self.n)
+        self.short.put(old.low[kept], old.high[kept], old.number[kept])
+        self.long = {p: k for p, k in self.long.items() if k < self.n}
+
+    def _ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces' ids, and how many each has. Pieces of letters are one word each and are encoded as one text."""
+        letters = np.fromiter(map(str.isalpha, pieces), bool, len(pieces))
+        words = [p for p, x in zip(pieces, letters.tolist(), strict=True) if x]
+        texts = [" ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
+        ids = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)), np.uint32)
+        stops = np.flatnonzero(self._ends_word[ids]) + 1
+        if len(stops) != len(words):  # folding has split a word
+            letters[:] = False
+            ids, stops = ids[:0], stops[:0]
+        rest = self.tokenizer.encode_batch_fast([p for p, x in zip(pieces, letters.tolist(), strict=True) if not x], add_special_tokens=False)
+        others = np.fromiter(chain.from_iterable(e.ids for e in rest), np.uint32)
+        sizes = np.zeros(len(pieces), np.int64)
+        sizes[letters] = np.diff(stops, prepend=0)
+        sizes[~letters] = [len(e.ids) for e in rest]
+        out = np.empty(len(ids) + len(others), np.uint32)
+        of_words = np.repeat(letters, sizes)
+        out[of_words], out[~of_words] = ids, others
+        return out, sizes
+
+    def _learn(self, pieces: list[bytes]) -> np.ndarray:
+        """The numbers that the pieces get."""
+        ids, sizes = self._ids_of(list(map(bytes.decode, pieces)))
+        stops = self.ends[self.n] + np.cumsum(sizes)
+        while self.n + len(pieces) >= len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
         while stops[-1] > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.ends[known] : stops[-1]] = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
-        self.ends[known + 1 : known + 1 + len(found)] = stops
-        self.number.update(zip(pieces, range(known, known + len(found)), strict=True))
+        self.flat[self.ends[self.n] : stops[-1]] = ids
+        self.ends[self.n + 1 : self.n + 1 + len(pieces)] = stops
+        self.n += len(pieces)
+        return np.arange(self.n - len(pieces), self.n, dtype=np.int32)
 
     def _whole(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Without the lookup, for texts that may hold the special tokens' strings."""
+        """Without the lookup, for texts that may hold the special tokens' strings and for other tokenizers."""
         raw = data.tobytes()
         found = self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], add_special_tokens=False)
         sizes = np.array([len(e.ids) for e in found], np.int64)
         return np.fromiter(chain.from_iterable(e.ids for e in found), np.uint32, int(sizes.sum())), sizes
 
+    def _numbers(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The numbers of the pieces; new ones are learned."""
+        low, high = _Table.packed(data, begin, size)
+        fits = size <= _Table.MOST
+        numbers = np.full(len(begin), -1, np.int32)
+        numbers[fits] = self.short.find(low[fits], high[fits])
+        raw = data.tobytes()
+        piece = lambda k: raw[begin[k] : begin[k] + size[k]]
+        long = np.flatnonzero(~fits).tolist()
+        numbers[long] = [self.long.get(piece(k), -1) for k in long]
+        new = np.flatnonzero(numbers < 0).tolist()
+        if new:
+            pieces = list(map(piece, new))
+            first = {p: k for p, k in zip(reversed(pieces), reversed(new), strict=True)}
+            learned = self._learn(list(first))
+            of = dict(zip(first, learned.tolist(), strict=True))
+            numbers[new] = [of[p] for p in pieces]
+            where = np.fromiter(first.values(), np.int64, len(first))
+            fit = fits[where]
+            self.short.put(low[where[fit]], high[where[fit]], learned[fit])
+            self.long.update((p, k) for p, k in of.items() if len(p) > _Table.MOST)
+        return numbers
+
     def __call__(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the rows of a byte column, and how many each row has."""
-        if b"<|" in data.tobytes():
+        if not self.by_pieces or b"<|" in data.tobytes():
             return self._whole(data, at)
-        if len(self.number) > REMEMBERED:
-            self._clear()
-        # a blank before the first of other ASCII signs after an ASCII letter, and one between rows: both end a token
-        kind = _KIND[data]
-        cut = np.zeros(len(data) + 1, bool)
-        cut[1:-1] = (kind[:-1] == 1) & (kind[1:] == 2)
-        cut[at] = True
-        places = np.flatnonzero(cut)
-        spread = np.insert(_LOWER[data], places, 32)
-        begins = at + np.searchsorted(places, at, "right")  # behind the row's own blank
-        head = _KIND[spread] != 0
-        head[1:] &= _KIND[spread[:-1]] == 0
-        row = np.searchsorted(np.flatnonzero(head), begins)
-        pieces = spread.tobytes().split()
-        numbers = list(map(self.number.get, pieces))
-        if None in numbers:
-            self._learn(list(dict.fromkeys(p for p, n in zip(pieces, numbers, strict=True) if n is None)))
-            numbers = list(map(self.number.get, pieces))
-        number = np.array(numbers, np.int64)
-        begin = self.ends[number]
-        sizes = self.ends[number + 1] - begin
+        if self.n > REMEMBERED:
+            self._forget()
+        kind = np.append(_KIND[data], np.uint8(0))  # white space after the end
+        word = kind > 0
+        head = word.copy()
+        head[1:] &= ~word[:-1] | ((kind[:-1] == 1) & (kind[1:] == 2))
+        head[at] = word[at]
+        begin = np.flatnonzero(head)
+        size = np.flatnonzero(word[:-1] & (head[1:] | ~word[1:])) + 1 - begin
+        number = self._numbers(np.append(_LOWER[data], np.zeros(16, np.uint8)), begin, size)
+        first = self.ends[number]
+        sizes = self.ends[number + 1] - first
         stops = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.repeat(begin - stops[:-1], sizes) + np.arange(stops[-1])]
-        return ids, np.diff(stops[row])
+        ids = self.flat[np.repeat(first - stops[:-1], sizes) + np.arange(stops[-1])]
+        return ids, np.diff(stops[np.searchsorted(begin, at)])
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -246,7 +366,7 @@ SHARDS = "part int, shard int, token_from long, doc_ids array<long>, counts arra
 
 def _writer(path: str, end_id: int, shard_tokens: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = encoder(path)
         part = TaskContext.get().partitionId()
         held: list[np.ndarray] = []
         ids: list = []
@@ -279,7 +399,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     """Write the shards of ``docs`` and read their table back: one file a row, in the order of (part, shard)."""
     short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
+    order = ["id", "digest", "row"]  # so rows without an id, or of one id, are split, too
+    keyed = rows.withColumns({"digest": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
     return materialize(ordered.mapInArrow(_writer(tokenizer_path, end_id, shard_tokens), SHARDS))
 
 

@@ -95,6 +95,28 @@ def test_tokens_equal_the_library(spark):
     assert tokens.read_tokens(tokens.write_tokens(docs(spark, []), PATH)).count() == 0
 
 
+def test_tokens_of_other_tokenizers_and_repeated_ids(spark):
+    from tokenizers import Tokenizer
+
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    assert tokens.encoder(PATH).by_pieces and not tokens.encoder(other).by_pieces
+    library = Tokenizer.from_file(other)
+    texts = ["Don't  stop", "é <|x", None, "a b", "a b", "zz" * 50]
+    got = sorted((r.doc_id or -1, r.n_tokens) for r in tokens.read_tokens(tokens.write_tokens(docs(spark, list(zip([3, 1, None, 3, 3, None], texts, strict=True))), other)).collect())
+    assert got == sorted((i, 1 + len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in zip([3, 1, -1, 3, 3, -1], texts, strict=True))
+
+
+def test_encoder_that_forgets_and_words_that_folding_splits(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "REMEMBERED", 20)
+    library, encode, rng = Tokenizer.from_file(PATH), tokens.Encoder(PATH), random.Random(4)
+    for _ in range(30):
+        text = " ".join("".join(rng.choice("aàb1'İ-") for _ in range(rng.randrange(1, 9))) for _ in range(12))
+        data = text.encode()
+        assert encode(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0].tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def naive_best_fit(pieces, capacity):
     bins, out = [], []
     for length, source, cluster in pieces:
