@@ -1,30 +1,33 @@
 """Repeated passages: MinHash banding of paragraphs, confirmed similarity, clusters by components.
 
-Quoted passages seldom begin and end at a text's own line breaks, so paragraphs are cut by content: before each
-word whose hash (with its successor's) is the least among ``REACH`` words on either side. The cuts inside a passage
-depend on the passage alone, wherever it stands; paragraphs have more than ``REACH`` words, about twice as many
-on average. Those are too short to stay similar when a word changes, so the texts are cut three times more: into paragraphs
-of a larger reach (``LONG_REACH``), into lines, and at blank lines. Each of the four levels has clusters of its own;
-of the further levels only paragraphs of ``LEAST_WORDS`` words or more are taken.
-
-1. Each paragraph has a hash of its words and ``BANDS`` band keys, each one minimum over its five-word shingles
-   (unrelated paragraphs share none, so a row a band suffices). At a similarity of 0.8 a pair is missed with
-   probability 0.2 ** BANDS. Equal paragraphs need no more than their hash.
-2. Keys held by two different paragraphs or more join their paragraphs with a few centres of the bucket, so a hot
+Quoted passages seldom begin and end at a text's own line breaks, so texts are cut into paragraphs in three ways: by content,
+before each word whose hash (with its successor's) is the least among ``LONG_REACH`` words on either side, into lines, and at
+blank lines. Cuts by content depend on the passage alone, wherever it stands. Each of these levels has clusters of its
+own; paragraphs of ``LEAST_WORDS`` words or more are taken.
+
+1. A text whose words all equal those of another (a lesser id's) is one span; only the least id of equal texts goes on, so
+   thousands of copies cost a row each from here.
+2. Each paragraph has a hash of its words and ``BANDS`` band keys of ``ROWS`` minima over its five-word shingles. At a
+   similarity of 0.8 a pair is missed with probability (1 - 0.8 ** ROWS) ** BANDS, 0.6 %. Equal paragraphs need no more
+   than their hash.
+3. Keys held by two different paragraphs or more join their paragraphs with a few centres of the bucket, so a hot
    passage costs pairs for each variant of it, not for each occurrence.
-3. Pairs are confirmed by the exact Jaccard coefficient of their shingles, and become clusters by components. Members of one
-   bucket that are in different components by then meet further centres, and at last one another, as in ``minhash``. Before
-   that, pairs go whose sizes, or ``PARITY`` bits that tell how many shingles fall on each an odd number of times, rule the
-   similarity out: every differing bit needs a shingle that only one side has, so none is lost by it.
-4. Of each cluster the first occurrence stays: the least id, in it the first place. The others are removed.
-5. Exact passages don't depend on the cuts: every run of ``PASSAGE`` words that an earlier place holds, too (a lesser id,
+4. Pairs are confirmed by the exact Jaccard coefficient of their shingles, and become clusters by components. Members of one
+   bucket that are in different components by then go through ``minhash.rivals``, which loses no link. Before
+   pairs are confirmed, those go whose sizes, or ``PARITY`` bits that tell how many shingles fall on each an odd number of times,
+   rule the similarity out: every differing bit needs a shingle that only one side has, so none is lost by it.
+5. Of each cluster the first occurrence stays: the least id, in it the first place. The others are removed.
+6. Exact passages don't depend on the cuts: every run of ``PASSAGE`` words that an earlier place holds, too (a lesser id,
    or the same text ``PASSAGE`` words before or more), is removed to the word. Runs are compared only where the least hash of their
    ``SEED``-word sequences occurs twice; equal runs have the same, so none is lost by it.
-6. What is removed in a text and overlaps or follows one another is one span; spans of ``LEAST_WORDS`` words or more are returned.
+7. What is removed in a text and overlaps or follows one another is one span; spans of ``LEAST_WORDS`` words or more are returned.
+
+What goes on is told by bitmaps whose size follows the number of hashes, up to ``MOST_BITS``; a bit too many costs
+rows, never a result.
 
 Letters of ASCII are folded, and all but letters and digits separates words. Result: one row per span to remove. Null
-and empty texts have no paragraphs, rows without an id take no part, and a repeated row counts as a repetition
-within its document. An empty table gives an empty result.
+and empty texts have no paragraphs, rows without an id take no part, and rows repeated whole count once. Rows of one id
+with different texts take no part, since a span names its text by the id. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,16 +41,16 @@ from pyspark.sql import functions as F
 
 from .common import NON_WORD, SPACE, Words, distinct_by_row, materialize, minima, mix64, seeds, shingle_hashes, short_batches, text_bytes
 from .components import components
-from .minhash import CENTRES, ROUNDS, _all_across, _confirm, _hop, _left, _stars
+from .minhash import BROADCAST_IDS, confirmed, rivals, stars
 
 LONG_REACH = 24
-REACH, BANDS, SHINGLE, PERCENT, LEAST_WORDS = 6, 3, 5, 80, 24
+REACH, BANDS, ROWS, SHINGLE, PERCENT, LEAST_WORDS = 6, 5, 2, 5, 80, 24
 #: Words of the exact passages that are found wherever they stand, and of the sequences that pick them.
-PASSAGE, SEED = 51, 24
+PASSAGE, SEED = 51, 32
 #: Bits of the parity sketch of a paragraph.
 PARITY = 128
-#: Bits of the filter that picks paragraphs to compare (8 MB).
-FILTER_BITS = 1 << 26
+#: Bits of a filter for each hash in it, and in all at least and at most (64 MB); a row of the table that builds it has a part.
+BITS_EACH, LEAST_BITS, MOST_BITS, PART_BITS = 16, 1 << 20, 1 << 29, 1 << 15
 
 _PLANES = [f"parity{k}" for k in range(PARITY // 64)]
 
@@ -113,12 +116,8 @@ class Passages:
 class Paragraphs:
     """Paragraphs of a batch of texts: row, first word in it, words, hash and byte range, with shingles on demand."""
 
-    def __init__(self, words: Words, at: np.ndarray, first: np.ndarray, level: int):
-        end = np.append(first[1:], len(words.hashes))
-        if level:
-            long = end - first >= LEAST_WORDS
-            first, end = first[long], end[long]
-        self.level, self._hashes, self._first, self._end = level, words.hashes, first, end
+    def __init__(self, words: Words, at: np.ndarray, first: np.ndarray, end: np.ndarray, level: int):
+        self.level, self._hashes, self._first = level, words.hashes, first
         self.row = np.searchsorted(words.rows, first, "right") - 1
         self.words = end - first
         self.lo = words.begins[first] - at[self.row]
@@ -146,28 +145,52 @@ def line_starts(data: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]
     return np.flatnonzero(first), np.flatnonzero(blank)
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Paragraphs]]:
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, Words]]:
     for whole in batches:
         for i in range(0, whole.num_rows, 128):
             part = whole.slice(i, 128)
             data, at = text_bytes(part.column(1))
-            words = Words(data, at, separators=NON_WORD)
-            cuts = (paragraph_starts(words.hashes, words.rows), paragraph_starts(words.hashes, words.rows, LONG_REACH), *line_starts(data, words))
-            for level, first in enumerate(cuts):
-                yield part, Paragraphs(words, at, first, level)
-
-
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, p in _parts(batches):
-        numbers = [p.hash, *(x.astype(np.int32) for x in (p.at, p.words, p.lo, p.hi))]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(p.row)), *map(pa.array, numbers)], names=["id", "hash", "at", "words", "lo", "hi"])
+            yield part, data, at, Words(data, at, separators=NON_WORD)
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, p in _parts(batches):
-        _, first = np.unique(p.hash, return_index=True)
-        keys = mix64(minima(*p.shingles(), seeds(BANDS, 41))[first] + seeds(BANDS, 43) + np.uint64(p.level))
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(p.hash[first], BANDS))], names=["key", "hash"])
+def _paragraphs(data: np.ndarray, at: np.ndarray, words: Words) -> Iterator[Paragraphs]:
+    lines, blank = line_starts(data, words)
+    for level, first in enumerate((paragraph_starts(words.hashes, words.rows, LONG_REACH), lines, blank)):
+        end = np.append(first[1:], len(words.hashes))
+        long = end - first >= LEAST_WORDS
+        if level == 2:  # a paragraph of one line is taken as a line
+            long &= np.searchsorted(lines, end) - np.searchsorted(lines, first) > 1
+        yield Paragraphs(words, at, first[long], end[long], level)
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, low, high, words, lo, hi): 128 bits of each text's words, and where they begin and end."""
+    for batch, _, at, words in _slices(batches):
+        first, end = words.rows[:-1], words.rows[1:]
+        digests = [_Sequences(mix64(words.hashes * seeds(1, salt)[0]))(first, end).view(np.int64) for salt in (47, 53)]
+        some = end > first
+        lo, hi = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        lo[some] = words.begins[first[some]] - at[:-1][some]
+        hi[some] = words.ends[end[some] - 1] - at[:-1][some]
+        columns = [batch.column(0), *map(pa.array, (*digests, *(x.astype(np.int32) for x in (end - first, lo, hi))))]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "low", "high", "words", "lo", "hi"])
+
+
+ENTRIES = "hash long, n int, keys array<long>"
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each paragraph and, without keys, for each seed of passages, once a batch with how often it occurs."""
+    names = [c.split()[0] for c in ENTRIES.split(", ")]
+    for _, data, at, words in _slices(batches):
+        for p in _paragraphs(data, at, words):
+            hashes, first, n = np.unique(p.hash, return_index=True, return_counts=True)
+            least = mix64(minima(*p.shingles(), seeds(BANDS * ROWS, 41))[first]).reshape(-1, BANDS, ROWS)
+            keys = mix64((least * seeds(ROWS, 59)).sum(axis=2, dtype=np.uint64) + seeds(BANDS, 43) + np.uint64(p.level))
+            offsets = pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel()))], names=names)
+        hashes, n = np.unique(Passages(words).seeds(), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(n.astype(np.int32)), pa.nulls(len(n), pa.list_(pa.int64()))], names=names)
 
 
 def _parity(members: np.ndarray) -> list[int]:
@@ -176,29 +199,50 @@ def _parity(members: np.ndarray) -> list[int]:
     return np.packbits(odd).view(np.int64).tolist()
 
 
-def _filter_bits(hashes: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size with the bits of ``hashes`` set, whatever their number."""
-    bits = hashes.select(F.pmod("hash", F.lit(FILTER_BITS)).alias("bit")).groupBy(F.expr("bit DIV 32").alias("word"))
-    words = bits.agg(F.expr("bit_or(shiftleft(1L, CAST(bit % 32 AS INT)))").alias("bits")).toPandas()  # FILTER_BITS / 32 rows at most
-    out = np.zeros(FILTER_BITS // 32, np.uint32)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).astype(np.uint32)
-    return out
+class Filter:
+    """A bitmap of hashes: true for all that were put in, and for few others."""
+
+    def __init__(self, hashes: DataFrame):
+        n = hashes.count()
+        self.size = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * n).bit_length()))
+        slot = F.pmod("hash", F.lit(self.size))
+        parts = hashes.select((slot / PART_BITS).cast("int").alias("part"), (slot % PART_BITS).alias("bit")).groupBy("part")
+        self.bits = np.zeros((self.size // PART_BITS, PART_BITS // 8), np.uint8)
+        for r in parts.agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():  # MOST_BITS in all at most
+            self.bits[r.part] = np.frombuffer(r.bits, np.uint8)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        place = hashes % self.size
+        return np.flatnonzero(self.bits.ravel()[place >> 3] >> (place & 7).astype(np.uint8) & 1)
 
 
-def _wanted(bits: np.ndarray) -> Callable:
-    """(hash, members, n, parity): shingle sets of the paragraphs whose bit is set, once a batch."""
+def _shared_entries(shared: Filter) -> Callable:
+    """(key, id) of the paragraphs' keys whose bit is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, p in _parts(batches):
-            place = p.hash % FILTER_BITS
-            held = np.flatnonzero(bits[place >> 5] >> (place & 31).astype(np.uint32) & 1)
-            _, first = np.unique(p.hash[held], return_index=True)
-            held = held[first]
-            values, rows = p.shingles()
-            sets = [np.unique(values[rows[k] : rows[k + 1]]) for k in held]
-            facts = np.array([[len(x), *_parity(x)] for x in sets], np.int64).reshape(len(sets), 1 + len(_PLANES))
-            columns = [pa.array(p.hash[held]), pa.array([x.tobytes() for x in sets], pa.binary()), *[pa.array(c.copy()) for c in facts.T]]
-            yield pa.RecordBatch.from_arrays(columns, names=["hash", "members", "n", *_PLANES])
+        for batch in batches:
+            keys, hashes = batch.column(1).flatten().to_numpy(), batch.column(0).to_numpy()
+            k = shared(keys)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[k]), pa.array(hashes[k // BANDS])], names=["key", "id"])
+
+    return run
+
+
+def _wanted(picked: Filter) -> Callable:
+    """(id, members, n, parity): shingle sets of the paragraphs whose bit is set, once a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, data, at, words in _slices(batches):
+            for p in _paragraphs(data, at, words):
+                held = picked(p.hash)
+                _, first = np.unique(p.hash[held], return_index=True)
+                held = held[first]
+                if len(held):
+                    values, rows = p.shingles()
+                    sets = [np.unique(values[rows[k] : rows[k + 1]]) for k in held]
+                    facts = np.array([[len(x), *_parity(x)] for x in sets], np.int64)
+                    columns = [pa.array(p.hash[held]), pa.array([x.tobytes() for x in sets], pa.binary()), *[pa.array(c.copy()) for c in facts.T]]
+                    yield pa.RecordBatch.from_arrays(columns, names=["hash", "members", "n", *_PLANES])
 
     return run
 
@@ -206,10 +250,10 @@ def _wanted(bits: np.ndarray) -> Callable:
 def _members(hashes: DataFrame, texts: DataFrame) -> DataFrame:
     """(hash, members, n, parity): the shingle sets of the paragraphs named.
 
-    They are taken from the texts where they are, by a filter of fixed size, so no text is shuffled.
+    They are taken from the texts where they are, by a filter, so no text is shuffled.
     """
     schema = "hash long, members binary, n long, " + ", ".join(f"{c} long" for c in _PLANES)
-    found = texts.mapInArrow(_wanted(_filter_bits(hashes)), schema)
+    found = texts.mapInArrow(_wanted(Filter(hashes)), schema)
     return materialize(found.join(hashes, "hash", "left_semi").dropDuplicates(["hash"]))
 
 
@@ -222,63 +266,78 @@ def _confirmed(pairs: DataFrame, members: DataFrame) -> DataFrame:
     differ = sum(F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in _PLANES)
     sized = 100 * F.least("a_n", "b_n") >= PERCENT * F.greatest("a_n", "b_n")
     pairs = materialize(pairs.where(sized & (differ * (100 + PERCENT) <= both * (100 - PERCENT))).select("a", "b"))
-    for side in ("a", "b"):
-        pairs = pairs.join(members.select(F.col("hash").alias(side), F.col("members").alias(f"members_{side}")), side)
-    return materialize(pairs.select("a", "b", "members_a", "members_b").mapInArrow(_confirm(PERCENT), "a long, b long"))
+    return materialize(confirmed(pairs, _sets(members), PERCENT))
+
+
+def _sets(members: DataFrame) -> DataFrame:
+    return members.select(F.col("hash").alias("id"), "members")
 
 
 def _links(crowded: DataFrame, members: DataFrame) -> DataFrame:
     """Links (a, b) between similar members of the buckets ``crowded`` (key, id), enough to join all that belong together."""
-    placed = crowded.withColumn("root", F.col("id"))
-    links, left = None, float("inf")
-    for turn in range(ROUNDS):
-        found = _confirmed(_stars(placed, turn * CENTRES), members)
-        links = found if links is None else links.unionByName(found)
-        if turn:
-            placed = materialize(_hop(placed, found))
-        else:
-            root = components(links).withColumnRenamed("node", "id")
-            placed = materialize(crowded.join(root, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
-        before, (left, rows) = left, _left(placed)
-        if left <= rows / 4 or left > before / 2:
-            break
-    return links.unionByName(_confirmed(_all_across(placed), members)) if left else links
-
-
-def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for i in range(0, whole.num_rows, 128):
-            words = Words(*text_bytes(whole.slice(i, 128).column(1)), separators=NON_WORD)
-            yield pa.RecordBatch.from_arrays([pa.array(Passages(words).seeds())], names=["hash"])
+    found = _confirmed(stars(crowded), members)
+    root = components(found).withColumnRenamed("node", "id")
+    placed = materialize(crowded.join(root, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
+    return found.unionByName(rivals(placed, lambda ids: _sets(members), PERCENT))
+
+
+PLACES = "run boolean, hash long, id long, at int, words int, lo int, hi int"
+
 
+def _places(paragraphs: Filter, seeds_: Filter) -> Callable:
+    """The places of paragraphs, and of runs of ``PASSAGE`` words, whose hash's or seed's bit is set."""
+    names = [c.split()[0] for c in PLACES.split(", ")]
 
-def _runs(bits: np.ndarray) -> Callable:
-    """(hash, id, at, lo, hi): the runs of ``PASSAGE`` words whose seed's bit is set."""
+    def rows(batch: pa.RecordBatch, run: bool, hashes: np.ndarray, row: np.ndarray, *numbers: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(np.full(len(row), run)), pa.array(hashes), batch.column(0).take(pa.array(row)), *[pa.array(x.astype(np.int32)) for x in numbers]]
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 128):
-                part = whole.slice(i, 128)
-                data, begins = text_bytes(part.column(1))
-                words = Words(data, begins, separators=NON_WORD)
-                p = Passages(words)
-                place = p.seed_hashes() % FILTER_BITS
-                held = np.flatnonzero(bits[place >> 5] >> (place & 31).astype(np.uint32) & 1)
-                first, row = p.first[held], p.row[held]
-                numbers = [p.at[held], words.begins[first] - begins[row], words.ends[first + PASSAGE - 1] - begins[row]]
-                hashes = p.hash_of(first, first + PASSAGE).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes), part.column(0).take(pa.array(row)), *[pa.array(x.astype(np.int32)) for x in numbers]], names=["hash", "id", "at", "lo", "hi"])
+        for batch, data, at, words in _slices(batches):
+            for p in _paragraphs(data, at, words):
+                k = paragraphs(p.hash)
+                yield rows(batch, False, p.hash[k], p.row[k], p.at[k], p.words[k], p.lo[k], p.hi[k])
+            p = Passages(words)
+            k = seeds_(p.seed_hashes())
+            first, row = p.first[k], p.row[k]
+            last = first + PASSAGE
+            yield rows(batch, True, p.hash_of(first, last).view(np.int64), row, p.at[k], last - first, words.begins[first] - at[row], words.ends[last - 1] - at[row])
 
     return run
 
 
-def _exact(texts: DataFrame) -> DataFrame:
+def _repeated_runs(runs: DataFrame) -> DataFrame:
     """(id, keep_id, at, words, lo, hi): the runs of ``PASSAGE`` words that an earlier place holds, too."""
-    repeated = texts.mapInArrow(_seeds, "hash long").groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    runs = materialize(texts.mapInArrow(_runs(_filter_bits(repeated)), "hash long, id long, at int, lo int, hi int"))
-    first = runs.groupBy("hash").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = materialize(runs.groupBy("hash").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     copies = runs.join(first, "hash").where((F.col("id") != F.col("first.id")) | (F.col("at") >= F.col("first.at") + PASSAGE))
-    return copies.select("id", F.col("first.id").alias("keep_id"), "at", F.lit(PASSAGE).alias("words"), "lo", "hi")
+    return copies.select("id", F.col("first.id").alias("keep_id"), "at", "words", "lo", "hi")
+
+
+def _repeated_paragraphs(places: DataFrame, root: DataFrame) -> DataFrame:
+    """(id, keep_id, at, words, lo, hi): the paragraphs of each cluster but its first."""
+    placed = places.join(root, "hash", "left").withColumn("cluster", F.coalesce("root", "hash")).drop("root", "hash")
+    clusters = materialize(placed.groupBy("cluster").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    first = Window.partitionBy("id", "cluster").orderBy("at", "lo")
+    copies = placed.join(clusters, "cluster").withColumn("k", F.row_number().over(first)).where("id <> keep_id OR k > 1")
+    return copies.select("id", "keep_id", "at", "words", "lo", "hi")
+
+
+def _equal_texts(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Whole texts that repeat another's words, as pieces (id, keep_id, at, words, lo, hi); and the texts that go on, one row an id."""
+    own = F.struct("low", "high", "words", "lo", "hi")
+    found = materialize(texts.mapInArrow(_documents, "id long, low long, high long, words int, lo int, hi int"))
+    ids = materialize(found.groupBy("id").agg(F.min(own).alias("a"), F.max(own).alias("b"), F.count(F.lit(1)).alias("n")).select("id", "n", (F.col("a") != F.col("b")).alias("mixed"), "a.*"))
+    digest = ["low", "high", "words"]
+    one = ids.where(~F.col("mixed") & (F.col("words") >= LEAST_WORDS))
+    firsts = materialize(one.groupBy(*digest).agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    copies = materialize(one.drop("n").join(firsts, digest).where("id <> keep_id").select("id", "keep_id", F.lit(0).alias("at"), "words", "lo", "hi"))
+    few = lambda x: F.broadcast(x) if x.count() <= BROADCAST_IDS else x
+    left = texts.join(few(materialize(ids.where("mixed").select("id").unionByName(copies.select("id")))), "id", "left_anti")
+    again = materialize(ids.where("n > 1 AND NOT mixed").select("id"))
+    if again.count():
+        again = few(again)
+        left = left.join(again, "id", "left_anti").unionByName(left.join(again, "id", "left_semi").dropDuplicates(["id"]))
+    return copies, left
 
 
 def _spans(pieces: DataFrame) -> DataFrame:
@@ -297,19 +356,21 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """One row per span to remove: id, keep_id (whose text keeps its first paragraph), bytes from and to, words."""
     short_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    places = materialize(texts.mapInArrow(_places, "id long, hash long, at int, words int, lo int, hi int"))
-    entries = texts.mapInArrow(_keys, "key long, hash long")
-    shared = entries.groupBy("key").agg(F.min("hash").alias("x"), F.max("hash").alias("y")).where("x < y").select("key")
-    crowded = materialize(entries.join(shared, "key").select("key", F.col("hash").alias("id")).distinct())
-    members = _members(materialize(crowded.select(F.col("id").alias("hash")).distinct()), texts)
-    root = materialize(components(_links(crowded, members)).withColumnRenamed("node", "hash"))
-
-    placed = places.join(root, "hash", "left").withColumn("cluster", F.coalesce("root", "hash")).drop("root", "hash")
-    clusters = placed.groupBy("cluster").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    occurrences = placed.join(clusters, "cluster")
-    first = Window.partitionBy("id", "cluster").orderBy("at", "lo")
-    copies = occurrences.withColumn("k", F.row_number().over(first)).where("id <> keep_id OR k > 1")
-    spans = _spans(copies.select("id", "keep_id", "at", "words", "lo", "hi").unionByName(_exact(texts)))
+    copies, texts = _equal_texts(texts)
+    table = materialize(texts.mapInArrow(_entries, ENTRIES))
+    paragraphs = table.where("keys IS NOT NULL").select("hash", "keys")
+    entries = paragraphs.select("hash", F.explode("keys").alias("key"))
+    shared = materialize(entries.groupBy("key").agg(F.min("hash").alias("x"), F.max("hash").alias("y")).where("x < y").select("key"))
+    entries = paragraphs.mapInArrow(_shared_entries(Filter(shared.select(F.col("key").alias("hash")))), "key long, id long")
+    crowded = materialize(entries.distinct().join(shared, "key", "left_semi"))
+    root = materialize(components(_links(crowded, _members(materialize(crowded.select(F.col("id").alias("hash")).distinct()), texts))).withColumnRenamed("node", "hash"))
+
+    counted = table.groupBy("hash", F.isnotnull("keys").alias("paragraph")).agg(F.sum("n").alias("n")).where("n > 1")
+    repeated = materialize(counted.select("hash", "paragraph").unionByName(root.select("hash", F.lit(True).alias("paragraph"))))
+    filters = [Filter(repeated.where(c).select("hash")) for c in ("paragraph", "NOT paragraph")]
+    places = materialize(texts.mapInArrow(_places(*filters), PLACES))
+    found = _repeated_paragraphs(places.where("NOT run").drop("run"), root).unionByName(_repeated_runs(places.where("run").drop("run")))
+    spans = _spans(found.unionByName(copies))
     return spans.where(F.col("words") >= least_words).select(F.col("id").alias(id_col), "keep_id", "byte_from", "byte_to", "words")
 
 
