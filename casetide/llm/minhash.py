@@ -37,6 +37,9 @@ MINIMA = 512
 PLANE = MINIMA // 64
 #: Centres of a bucket.
 CENTRES = 4
+#: Words of 64 bits that tell how many members of a set fall on each bit an odd number of times.
+PARITY = 4
+_PARITY = [f"p{k}" for k in range(PARITY)]
 #: Ids broadcast at most (16 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 #: Standard deviations that the estimate may lie below the threshold.
@@ -179,17 +182,19 @@ def _deltas(percent: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, deltas = [], []
+            sizes, deltas, parity = [], [], []
             for x, y in zip(batch.column(4), batch.column(5), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 deltas.append(np.setxor1d(x, y, assume_unique=True))
                 sizes.append((len(x), len(deltas[-1]), len(y)))
+                parity.append(np.bincount((mix64(x) % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1)
             n, d, base = np.array(sizes, np.int64).reshape(-1, 3).T.copy()
             near = (100 + percent) * d <= (100 - percent) * (n + base)
             offsets = pa.array(np.append(0, np.cumsum(d)).astype(np.int32))
             flat = np.concatenate(deltas).view(np.int64) if deltas else np.zeros(0, np.int64)
-            columns = [*batch.columns[:4], *map(pa.array, (n, d, base, near)), pa.ListArray.from_arrays(offsets, pa.array(flat))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "c", "root", "home", "n", "d", "base", "near", "delta"])
+            planes = np.packbits(np.array(parity, np.uint8).reshape(-1, 64 * PARITY), axis=1).view(np.int64).T.copy()
+            columns = [*batch.columns[:4], *map(pa.array, (n, d, base, near)), pa.ListArray.from_arrays(offsets, pa.array(flat)), *map(pa.array, planes)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "c", "root", "home", "n", "d", "base", "near", "delta", *_PARITY])
 
     return run
 
@@ -203,7 +208,8 @@ def rivals(placed: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: i
     both, x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| members. Two that are similar to c are linked by it. Of any
     other pair one, x, isn't similar to c, and then sizes alone tell how many members D(x) and D(y) must share at least.
     So they share one of the rarest of D(y), as many as D(y) may lack and one more, and one of the rarest of D(x); and
-    from the place of the first shared one in the common order, rarest first, so many must still be left in both.
+    from the place of the first shared one in the common order, rarest first, so many must still be left in both. Every bit
+    of the sets' parity that differs needs a member that only one side has.
     Members that c and its variants have in common are in no D, and what one variant has of its own is shared by none: pairs that
     meet are few even where a bucket is large and its members are nearly similar enough. No link is lost.
     """
@@ -212,7 +218,7 @@ def rivals(placed: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: i
     pairs = materialize(placed.join(centres, "key").where("id <> c").select("id", "c", "root", "home").distinct())
     members = sets(pairs.select("id").unionByName(pairs.select(F.col("c").alias("id"))))
     given = with_members(pairs.withColumn("a", F.col("id")).withColumn("b", F.col("c")), members).select("id", "c", "root", "home", "members_a", "members_b")
-    deltas = materialize(given.mapInArrow(_deltas(percent), "id long, c long, root long, home long, n long, d long, base long, near boolean, delta array<long>"))
+    deltas = materialize(given.mapInArrow(_deltas(percent), "id long, c long, root long, home long, n long, d long, base long, near boolean, delta array<long>, " + ", ".join(f"{p} long" for p in _PARITY)))
     links = deltas.where("near AND root <> home").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b"))
 
     elements = deltas.select("c", "id", F.explode("delta").alias("e"))
@@ -224,14 +230,15 @@ def rivals(placed: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: i
     lacking = F.floor(less * F.col("n") / percent)
     ranked = elements.join(common, ["c", "e"]).withColumns({"rank": rank, "shared": shared}).join(deltas.drop("delta"), ["c", "id"])
     ranked = ranked.withColumn("at", F.col("d") - F.col("shared") + F.col("rank")).withColumn("within", F.least(lacking + 1, F.col("d")))
-    facts = ["id", "root", "n", "d", "at", "near"]
+    facts = ["id", "root", "n", "d", "at", "near", *_PARITY]
     probe = ranked.where("NOT near AND at <= within").select("c", "e", *[F.col(k).alias(f"x_{k}") for k in facts])
     index = ranked.where(F.col("at") <= F.least("within", F.col("d") - least + 1)).select("c", "e", *[F.col(k).alias(f"y_{k}") for k in facts])
     apart = (F.col("x_root") != F.col("y_root")) & (F.col("y_near") | (F.col("x_id") < F.col("y_id")))
     sized = 100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")
     left = 1 + F.least(F.col("x_d") - F.col("x_at"), F.col("y_d") - F.col("y_at"))
     enough = 2 * more * left >= more * (F.col("x_d") + F.col("y_d")) - less * (F.col("x_n") + F.col("y_n"))
-    met = probe.join(index, ["c", "e"]).where(apart & sized & enough)
+    differ = sum(F.bit_count(F.col(f"x_{p}").bitwiseXOR(F.col(f"y_{p}"))) for p in _PARITY)
+    met = probe.join(index, ["c", "e"]).where(apart & sized & enough & (more * differ <= less * (F.col("x_n") + F.col("y_n"))))
     met = materialize(met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct())
     return links.unionByName(materialize(confirmed(met, members, percent)))
 

@@ -125,9 +125,11 @@ class Paragraphs:
         self.at = first - words.rows[self.row]
         self.hash = mix64(_Sequences(words.hashes)(first, end) + np.uint64(level)).view(np.int64)
 
-    def shingles(self) -> tuple[np.ndarray, np.ndarray]:
-        own = np.repeat(self._first - np.append(0, np.cumsum(self.words)[:-1]), self.words) + np.arange(self.words.sum())
-        return shingle_hashes(self._hashes[own], np.append(0, np.cumsum(self.words)), SHINGLE)
+    def shingles(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the paragraphs ``which``, in that order."""
+        words = self.words[which]
+        stops = np.append(0, np.cumsum(words))
+        return shingle_hashes(self._hashes[np.repeat(self._first[which] - stops[:-1], words) + np.arange(stops[-1])], stops, SHINGLE)
 
 
 def line_starts(data: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +187,7 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, data, at, words in _slices(batches):
         for p in _paragraphs(data, at, words):
             hashes, first, n = np.unique(p.hash, return_index=True, return_counts=True)
-            least = mix64(minima(*p.shingles(), seeds(BANDS * ROWS, 41))[first]).reshape(-1, BANDS, ROWS)
+            least = mix64(minima(*p.shingles(first), seeds(BANDS * ROWS, 41))).reshape(-1, BANDS, ROWS)
             keys = mix64((least * seeds(ROWS, 59)).sum(axis=2, dtype=np.uint64) + seeds(BANDS, 43) + np.uint64(p.level))
             offsets = pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel()))], names=names)
@@ -238,8 +240,8 @@ def _wanted(picked: Filter) -> Callable:
                 _, first = np.unique(p.hash[held], return_index=True)
                 held = held[first]
                 if len(held):
-                    values, rows = p.shingles()
-                    sets = [np.unique(values[rows[k] : rows[k + 1]]) for k in held]
+                    values, rows = p.shingles(held)
+                    sets = [np.unique(values[a:b]) for a, b in zip(rows[:-1], rows[1:], strict=True)]
                     facts = np.array([[len(x), *_parity(x)] for x in sets], np.int64)
                     columns = [pa.array(p.hash[held]), pa.array([x.tobytes() for x in sets], pa.binary()), *[pa.array(c.copy()) for c in facts.T]]
                     yield pa.RecordBatch.from_arrays(columns, names=["hash", "members", "n", *_PLANES])
@@ -281,36 +283,51 @@ def _links(crowded: DataFrame, members: DataFrame) -> DataFrame:
     return found.unionByName(rivals(placed, lambda ids: _sets(members), PERCENT))
 
 
-PLACES = "run boolean, hash long, id long, at int, words int, lo int, hi int"
+#: Kinds of places: a paragraph, a run of ``PASSAGE`` words, and a run that the same text holds before.
+PARAGRAPH, RUN, AGAIN = 0, 1, 2
+PLACES = "kind int, hash long, id long, at int, words int, lo int, hi int"
+
+
+def _again(row: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which runs their own text holds ``PASSAGE`` words before or more."""
+    order = np.lexsort((at, hashes, row))
+    row, hashes = row[order], hashes[order]
+    new = np.append(True, (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1]))[: len(row)]
+    first = at[order][np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))]
+    return order[at[order] >= first + PASSAGE]
 
 
 def _places(paragraphs: Filter, seeds_: Filter) -> Callable:
     """The places of paragraphs, and of runs of ``PASSAGE`` words, whose hash's or seed's bit is set."""
     names = [c.split()[0] for c in PLACES.split(", ")]
 
-    def rows(batch: pa.RecordBatch, run: bool, hashes: np.ndarray, row: np.ndarray, *numbers: np.ndarray) -> pa.RecordBatch:
-        columns = [pa.array(np.full(len(row), run)), pa.array(hashes), batch.column(0).take(pa.array(row)), *[pa.array(x.astype(np.int32)) for x in numbers]]
+    def rows(batch: pa.RecordBatch, kind: int, hashes: np.ndarray, row: np.ndarray, *numbers: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(np.full(len(row), kind, np.int32)), pa.array(hashes), batch.column(0).take(pa.array(row)), *[pa.array(x.astype(np.int32)) for x in numbers]]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, at, words in _slices(batches):
             for p in _paragraphs(data, at, words):
                 k = paragraphs(p.hash)
-                yield rows(batch, False, p.hash[k], p.row[k], p.at[k], p.words[k], p.lo[k], p.hi[k])
+                yield rows(batch, PARAGRAPH, p.hash[k], p.row[k], p.at[k], p.words[k], p.lo[k], p.hi[k])
             p = Passages(words)
             k = seeds_(p.seed_hashes())
             first, row = p.first[k], p.row[k]
             last = first + PASSAGE
-            yield rows(batch, True, p.hash_of(first, last).view(np.int64), row, p.at[k], last - first, words.begins[first] - at[row], words.ends[last - 1] - at[row])
+            runs = (p.hash_of(first, last).view(np.int64), row, p.at[k], last - first, words.begins[first] - at[row], words.ends[last - 1] - at[row])
+            yield rows(batch, RUN, *runs)
+            own = _again(row, runs[0], p.at[k])
+            yield rows(batch, AGAIN, *[x[own] for x in runs])
 
     return run
 
 
-def _repeated_runs(runs: DataFrame) -> DataFrame:
+def _repeated_runs(places: DataFrame) -> DataFrame:
     """(id, keep_id, at, words, lo, hi): the runs of ``PASSAGE`` words that an earlier place holds, too."""
-    first = materialize(runs.groupBy("hash").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    copies = runs.join(first, "hash").where((F.col("id") != F.col("first.id")) | (F.col("at") >= F.col("first.at") + PASSAGE))
-    return copies.select("id", F.col("first.id").alias("keep_id"), "at", "words", "lo", "hi")
+    runs, piece = places.where(F.col("kind") == RUN).drop("kind"), ["id", "keep_id", "at", "words", "lo", "hi"]
+    first = materialize(runs.groupBy("hash").agg(F.min("id").alias("keep_id"), F.max("id").alias("last")).where("keep_id < last").drop("last"))
+    again = places.where(F.col("kind") == AGAIN).withColumn("keep_id", F.col("id"))
+    return runs.join(first, "hash").where("id <> keep_id").select(*piece).unionByName(again.select(*piece))
 
 
 def _repeated_paragraphs(places: DataFrame, root: DataFrame) -> DataFrame:
@@ -347,13 +364,13 @@ def _spans(pieces: DataFrame) -> DataFrame:
     run = F.sum(F.coalesce((F.col("at") > F.col("before")).cast("int"), F.lit(1))).over(order)
     runs = pieces.withColumn("before", before).withColumn("run", run)
     return runs.groupBy("id", "run").agg(
-        F.min_by("keep_id", F.struct("at", "words", "keep_id")).alias("keep_id"), F.min("lo").alias("byte_from"), F.max("hi").alias("byte_to"),
+        F.min("keep_id").alias("keep_id"), F.min("lo").alias("byte_from"), F.max("hi").alias("byte_to"),
         (F.max(F.col("at") + F.col("words")) - F.min("at")).cast("long").alias("words"),
     )
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """One row per span to remove: id, keep_id (whose text keeps its first paragraph), bytes from and to, words."""
+    """One row per span to remove: id, keep_id (the least whose text keeps any of it), bytes from and to, words."""
     short_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
     copies, texts = _equal_texts(texts)
@@ -369,7 +386,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     repeated = materialize(counted.select("hash", "paragraph").unionByName(root.select("hash", F.lit(True).alias("paragraph"))))
     filters = [Filter(repeated.where(c).select("hash")) for c in ("paragraph", "NOT paragraph")]
     places = materialize(texts.mapInArrow(_places(*filters), PLACES))
-    found = _repeated_paragraphs(places.where("NOT run").drop("run"), root).unionByName(_repeated_runs(places.where("run").drop("run")))
+    found = _repeated_paragraphs(places.where(F.col("kind") == PARAGRAPH).drop("kind"), root).unionByName(_repeated_runs(places))
     spans = _spans(found.unionByName(copies))
     return spans.where(F.col("words") >= least_words).select(F.col("id").alias(id_col), "keep_id", "byte_from", "byte_to", "words")
 
