@@ -1,7 +1,7 @@
 """Shared pieces of the training-data operators: storage between jobs, word hashing, Arrow access.
 
 Tables between jobs go to the folder that ``spark.checkpoint.dir`` names, which every executor
-and the driver see. Only where that setting is absent (tests, notebooks) a folder of our own is made.
+and the driver see. Only where that setting is absent in a local session (tests, notebooks) a folder of our own is made.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder for tables between jobs, unique to the caller, deleted when the session ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="casetide-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)

@@ -58,9 +58,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all their columns unchanged; rows repeated whole with one id count once.
+    """The rows of ``docs`` that stay, all their columns unchanged; rows repeated with one id and text count once.
 
-    A row without an id can't be named as a copy and stays.
+    Rows are told apart by id and digest, so an id that two texts share loses only a copy. A row without an id can't be
+    named as a copy and stays.
     """
-    gone = exact_groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("__gone"))
-    return docs.join(gone.distinct(), docs[id_col] == F.col("__gone"), "left_anti")
+    groups = exact_groups(docs.where(F.col(id_col).isNotNull()), id_col, text_col).select(F.col(id_col).alias("__id"), "keep_id", F.col("text_sha256").alias("__digest"))
+    rows = materialize(groups.groupBy("__id", "__digest", "keep_id").agg(F.count(F.lit(1)).alias("n")).where("__id <> keep_id OR n > 1"))
+    named = docs.withColumns({"__id": F.col(id_col), "__digest": F.when(F.col(id_col).isNotNull(), text_digest(F.col(text_col)))})
+    own = ["__id", "__digest"]
+    again = rows.where("__id = keep_id").select(*own)
+    kept = named.join(rows.where("__id <> keep_id").select(*own), own, "left_anti")
+    if again.limit(1).count():
+        kept = kept.join(again, own, "left_anti").unionByName(kept.join(again, own, "left_semi").dropDuplicates(own))
+    return kept.drop(*own)

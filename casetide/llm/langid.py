@@ -199,11 +199,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST_SCORE) -> DataFrame:
     """The rows of ``docs`` with letters and a score of ``least`` or more, all columns unchanged.
 
-    The prediction runs as an expression over the text, so no row is matched by its id again and none is shuffled.
+    The prediction runs as an expression over the text, so no row is matched by its id again and none is shuffled. With
+    nothing to learn from, no text is rejected for its score.
     """
     net = fit(docs, id_col, text_col, lang_col)
     if net is None:
-        return docs.limit(0)
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
     short_batches(docs.sparkSession)
 
     def identified(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:

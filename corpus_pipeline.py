@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, folder of tables) and works on all rows that the stage before it kept. ``run``
 writes each stage's rows as Parquet in the shared folder and reads them back for the next.
+
+Null texts, empty ones and those without letters go in the first stage. Of equal texts the least id stays, rows repeated
+with one id and text once; an id that two texts share loses only a copy. Of near copies the least id of a group
+stays. Rows without an id can't be named by a decision and stay until packing, which returns them with a null id. All
+columns but id, text, lang and source only travel along. An empty table gives an empty result.
 """
 
 from __future__ import annotations

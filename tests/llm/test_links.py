@@ -249,3 +249,29 @@ def test_copies_of_short_items(spark):
     benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.verdict for r in decontam.find_leaks(frame(spark, texts), benchmark).collect()}
     assert got == {(i, i): "copy" for i in range(3)}
+
+
+def test_an_id_of_two_texts_loses_only_a_copy(spark):
+    texts, ids = ["a b", "a  b", "c d", "c d", "c d", None, "x"], [1, 2, 2, 3, 3, None, None]
+    kept = exact_dedup.drop_exact_copies(frame(spark, texts, ids))
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == [(-1, ""), (-1, "x"), (1, "a b"), (2, "c d")]
+    twice = exact_dedup.drop_exact_copies(frame(spark, ["q", "q", "r"], [5, 5, 5]))
+    assert sorted((r.doc_id, r.text) for r in twice.collect()) == [(5, "q"), (5, "r")]
+    near = minhash.drop_near_copies(frame(spark, ["a b c d e", "a b c d e", "other words here"], [0, 1, 1]))
+    assert near.count() == 3
+
+
+def test_rivals_lose_no_link(spark):
+    rng = random.Random(29)
+    base, sets = list(range(100)), []
+    for k in range(160):
+        members = set(rng.sample(base, 100 - rng.randrange(0, 24))) | {1000 + rng.randrange(60) for _ in range(rng.randrange(0, 14))}
+        sets.append(sorted(members))
+    import numpy as np
+
+    members = spark.createDataFrame([(i, bytearray(np.array(x, np.uint64).tobytes())) for i, x in enumerate(sets)], "id long, members binary")
+    placed = spark.createDataFrame([(1, i, i) for i in range(len(sets))], "key long, id long, root long")
+    links = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if 100 * len(set(sets[a]) & set(sets[b])) >= 80 * len(set(sets[a]) | set(sets[b]))]
+    got = [(r.a, r.b) for r in minhash.rivals(placed, lambda ids: members, 80).collect()]
+    assert set(got) <= set(links) and reach(range(len(sets)), got) == reach(range(len(sets)), links)
+    assert len(set(reach(range(len(sets)), links).values())) > 20
