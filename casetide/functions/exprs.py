@@ -132,7 +132,7 @@ def noisy_or(*chances: Column) -> Column:
 
 
 def noisy_or_agg(p: Column | str) -> Column:
-    return 1 - F.product(1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(col(p), F.lit(0.0)))))
+    return 1 - F.product(1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(finite(col(p).cast("double")), F.lit(0.0)))))
 
 
 def first_largest(names: list[str], values: list[Column], floor: float, none: str = "none") -> Column:

@@ -75,8 +75,13 @@ def spatial_controls(cases: DataFrame, places: DataFrame, *, seed: int, k: int =
     return drawn.where((F.col("offset") < k) & (F.col("__n") >= k)).drop("__race", "__n")
 
 
-def deciles(places: DataFrame, value: str, block: list[str], name: str = "place_decile") -> DataFrame:
-    """Decile codes 0..9 of log10(value) within each block, by the block's own quantiles."""
-    edges = places.groupBy(*block).agg(F.percentile(F.log10(value), F.array(*[F.lit(i / 10) for i in range(1, 10)])).alias("__edges"))
-    above = F.size(F.filter("__edges", lambda e: e <= F.log10(value)))
-    return places.join(edges, block).withColumn(name, above.cast("int")).drop("__edges")
+def decile_edges(places: DataFrame, value: str, block: list[str], least: int = 50) -> DataFrame:
+    """(block, edges): the nine inner decile edges of log10(value) of each block with ``least`` places or more."""
+    edges = F.percentile(F.log10(value), F.array(*[F.lit(i / 10) for i in range(1, 10)])).alias("edges")
+    return places.groupBy(*block).agg(edges, F.count(F.log10(value)).alias("__n")).where(F.col("__n") >= least).drop("__n")
+
+
+def deciles(rows: DataFrame, edges: DataFrame, value: str, block: list[str], name: str = "place_decile") -> DataFrame:
+    """``rows`` of the blocks that ``edges`` has, with the decile code 0..9 of log10(value) by those edges."""
+    above = F.size(F.filter("edges", lambda e: e <= F.log10(value)))
+    return rows.join(edges, block).withColumn(name, above.cast("int")).drop("edges")

@@ -105,7 +105,7 @@ def parsed(rows: DataFrame, text: str, default_country: str | None = None) -> Da
 def _best(left: DataFrame, right: DataFrame, key: str, on: Column, score: Column, least: float, tie: str) -> DataFrame:
     """(key, hit): the best row of ``right`` for each of ``left`` that scores ``least`` or more."""
     met = left.join(right, on).withColumn("__score", score).where(F.col("__score") >= least)
-    hit = F.struct("lat", "lon", "radius_km", "precision", "matched")
+    hit = F.struct("lat", "lon", "radius_km", "precision", "matched", "hit_country")
     return met.groupBy(key).agg(F.max_by(hit, F.struct("__score", tie, "matched")).alias("hit"))
 
 
@@ -118,7 +118,7 @@ def geocoded(rows: DataFrame, key: str, text: str, places: DataFrame, gazetteer:
     asked = cut(parsed(rows.select(key, text), text, default_country))
     todo = asked.where(~F.col("region_only") & (F.length("base_name") > 0))
     site = lambda df, radius, precision, size: df.select(
-        "name_clean", F.col("__block"), "lat", "lon", radius.alias("radius_km"), F.lit(precision).alias("precision"), F.col("name").alias("matched"), F.coalesce(size.cast("double"), F.lit(0.0)).alias("size")
+        "name_clean", F.col("__block"), "lat", "lon", radius.alias("radius_km"), F.lit(precision).alias("precision"), F.col("name").alias("matched"), F.coalesce(size.cast("double"), F.lit(0.0)).alias("size"), (F.col("country") if "country" in df.columns else F.lit("US")).alias("hit_country")
     )
     by_state = lambda df: df.withColumn("__block", F.col("state"))
     area = X.place_radius_km("area_km2", F.lit(None).cast("double"))
@@ -153,6 +153,6 @@ def geocoded(rows: DataFrame, key: str, text: str, places: DataFrame, gazetteer:
     has = F.col("hit").isNotNull()
     made = out.select(
         key, F.when(turned, moved[0]).otherwise(F.col("hit.lat")).alias("lat"), F.when(turned, moved[1]).otherwise(F.col("hit.lon")).alias("lon"), F.when(has, radius).alias("radius_km"),
-        F.when(F.col("region_only"), "region").when(has, how).otherwise("unresolved").alias("precision"), F.col("hit.matched").alias("matched"), "country", "state",
+        F.when(F.col("region_only"), "region").when(has, how).otherwise("unresolved").alias("precision"), F.col("hit.matched").alias("matched"), F.coalesce("country", "hit.hit_country").alias("country"), "state",
     )
     return rows.join(made, key, "left")

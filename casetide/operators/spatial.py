@@ -49,14 +49,34 @@ def _inline(sites: DataFrame, fields: list[str]) -> DataFrame | None:
     return sites.agg(F.collect_list(F.struct(*fields)).alias("__sites"))
 
 
+def _nearest_of(places: np.ndarray):
+    """The number of the nearest place (lat, lon) of each point, the first of equals, -1 without any; a block of points at a time."""
+
+    def run(lats: pa.Array, lons: pa.Array) -> pa.Array:
+        at = np.radians(np.stack([lats.to_numpy(zero_copy_only=False), lons.to_numpy(zero_copy_only=False)]).astype(float))
+        to = np.radians(places.T)
+        out = np.full(at.shape[1], -1, np.int32)
+        for i in range(0, at.shape[1] if len(places) else 0, 512):
+            lat, lon = at[:, i : i + 512, None]
+            chord = np.sin((to[0] - lat) / 2) ** 2 + np.cos(lat) * np.cos(to[0]) * np.sin((to[1] - lon) / 2) ** 2
+            out[i : i + 512] = np.where(np.isnan(chord), np.inf, np.round(chord, 15)).argmin(axis=1)
+        return pa.array(out)
+
+    return F.arrow_udf(run, "int")
+
+
 def nearest_site(points: DataFrame, sites: DataFrame, point_id: str, site_id: str, point_at=("lat", "lon"), site_at=("site_lat", "site_lon"), name: str = "dist_km") -> DataFrame:
     """``points`` with the nearest site and its distance (least id of equals); null without a place or a site."""
     sites = sites.where(F.col(site_at[0]).isNotNull() & F.col(site_at[1]).isNotNull()).select(site_id, *site_at)
     layer = _inline(sites, [site_id, *site_at])
     if layer is not None:
-        reach = F.transform("__sites", lambda s: F.struct(haversine_km(*point_at, s[site_at[0]], s[site_at[1]]).alias(name), s[site_id].alias(site_id)))
-        best = F.array_min(F.filter(reach, lambda s: s[name].isNotNull()))
-        return points.join(F.broadcast(layer)).withColumn("__best", best).select(*points.columns, F.col(f"__best.{name}").alias(name), F.col(f"__best.{site_id}").alias(site_id))
+        layer = layer.select(F.array_sort("__sites").alias("__sites"))
+        places = np.array([[s[1], s[2]] for s in layer.first()["__sites"]], float).reshape(-1, 2)  # INLINE_SITES at most, by id
+        nearest = F.when(F.col(point_at[0]).isNotNull() & F.col(point_at[1]).isNotNull(), _nearest_of(places)(*[F.col(c).cast("double") for c in point_at]))
+        best = F.get("__sites", F.nullif(nearest, F.lit(-1)))
+        found = points.join(F.broadcast(layer)).withColumn("__best", best)
+        reach = haversine_km(*point_at, F.col(f"__best.{site_at[0]}"), F.col(f"__best.{site_at[1]}"))
+        return found.select(*points.columns, reach.alias(name), F.col(f"__best.{site_id}").alias(site_id))
     found, left, km = None, points.select(point_id, *point_at).where(F.col(point_at[0]).isNotNull() & F.col(point_at[1]).isNotNull()), 50.0
     while km < 41_000:  # rings of doubled radius: what a ring finds is the nearest
         met = radius_join(left, sites, min(km, 20_100.0), point_at, site_at, name).groupBy(point_id).agg(F.min(F.struct(name, site_id)).alias("__best"))
@@ -89,13 +109,26 @@ def valid_sites(points: DataFrame, sites: DataFrame, km: float, point_id: str, y
 
 
 def neighbours(areas: DataFrame, k: int, area_id: str, at=("lat", "lon")) -> DataFrame:
-    """(id, rank, neighbour, km): the ``k`` nearest other areas of each; for layers of at most ``INLINE_SITES``."""
+    """(id, rank, neighbour, km): the ``k`` nearest other areas of each, the least id first of equals."""
     layer = _inline(areas, [area_id, *at])
-    if layer is None:
-        raise ValueError(f"more than {INLINE_SITES} areas")
-    ranked = F.array_sort(F.transform(F.filter("__sites", lambda s: s[area_id] != F.col(area_id)), lambda s: F.struct(haversine_km(*at, s[at[0]], s[at[1]]).alias("km"), s[area_id].alias("neighbour"))))
-    spread = areas.join(F.broadcast(layer)).select(area_id, F.posexplode(F.slice(ranked, 1, k)).alias("rank", "n"))
-    return spread.select(area_id, (F.col("rank") + 1).alias("rank"), "n.neighbour", "n.km")
+    if layer is not None:
+        ranked = F.array_sort(F.transform(F.filter("__sites", lambda s: s[area_id] != F.col(area_id)), lambda s: F.struct(haversine_km(*at, s[at[0]], s[at[1]]).alias("km"), s[area_id].alias("neighbour"))))
+        spread = areas.join(F.broadcast(layer)).select(area_id, F.posexplode(F.slice(ranked, 1, k)).alias("rank", "n"))
+        return spread.select(area_id, (F.col("rank") + 1).alias("rank"), "n.neighbour", "n.km")
+    other = areas.select(F.col(area_id).alias("neighbour"), F.col(at[0]).alias("__lat"), F.col(at[1]).alias("__lon"))
+    order = Window.partitionBy(area_id).orderBy("km", "neighbour")
+    found, left, km = None, areas.select(area_id, *at).where(F.col(at[0]).isNotNull() & F.col(at[1]).isNotNull()), 50.0
+    while True:  # rings of doubled radius: the k first that a ring holds are the nearest
+        last = km >= 20_100
+        met = radius_join(left, other, min(km, 20_100.0), at, ("__lat", "__lon")).where(F.col(area_id) != F.col("neighbour"))
+        near = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(area_id, "rank", "neighbour", "km")
+        full = near if last else near.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(area_id))).where(F.col("__n") >= k).drop("__n")
+        full = cut(full)
+        found = full if found is None else found.unionByName(full)
+        left = cut(left.join(full.select(area_id).distinct(), area_id, "left_anti"))
+        if last or not left.limit(1).count():
+            return found
+        km *= 2
 
 
 def close_pairs(points: DataFrame, km: float, point_id: str, at=("lat", "lon"), carry: list[str] | None = None) -> DataFrame:

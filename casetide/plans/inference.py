@@ -122,7 +122,9 @@ def poisson_elasticity(spark: SparkSession, folder: str) -> DataFrame:
     """Daily counts on log views with errors robust to a week of autocorrelation (STA-14, STA-17, STA-18)."""
     import numpy as np
 
-    daily = table(spark, folder, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "view").alias("views")).orderBy("day").limit(panels.MOST_ROWS).toPandas()
+    daily = table(spark, folder, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "view").alias("views")).orderBy("day").limit(panels.MOST_ROWS + 1).toPandas()
+    if len(daily) > panels.MOST_ROWS:
+        raise ValueError(f"more than {panels.MOST_ROWS} days")
     design, counts = np.log1p(daily[["views"]].to_numpy(float)), daily["n"].to_numpy(float)
     beta, cov, mean = panels.poisson(design, counts)
     hac = panels.hac_covariance(design, counts, mean, cov)

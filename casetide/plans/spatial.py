@@ -172,8 +172,9 @@ def polygon_distance(spark: SparkSession, folder: str) -> DataFrame:
 def spatial_controls(spark: SparkSession, folder: str) -> DataFrame:
     """Four places a case, drawn by population in its country and decile (DOM-10, MTH-10)."""
     places = _sites(spark, folder).select(F.col("s_suppkey").alias("place_id"), F.col("site_lat").alias("place_lat"), F.col("site_lon").alias("place_lon"), (F.col("s_nationkey") % 2).alias("country"), (F.col("s_acctbal") + 2000).alias("population"))
-    places = controls.deciles(places, "population", ["country"])
-    cases = controls.deciles(_customers(spark, folder).select(F.col("c_custkey").alias("event_id"), "lat", "lon", (F.col("c_nationkey") % 2).alias("country"), (F.col("c_acctbal") + 2000).alias("population")).where("population > 0"), "population", ["country"], "decile")
+    edges = controls.decile_edges(places, "population", ["country"], least=1)  # the places' own edges hold for the cases, too
+    places = controls.deciles(places, edges, "population", ["country"])
+    cases = controls.deciles(_customers(spark, folder).select(F.col("c_custkey").alias("event_id"), "lat", "lon", (F.col("c_nationkey") % 2).alias("country"), (F.col("c_acctbal") + 2000).alias("population")).where("population > 0"), edges, "population", ["country"], "decile")
     return controls.spatial_controls(cases.drop("population"), places, seed=20261004).select("event_id", "offset", "place_id")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,10 +19,23 @@ def local_session(cpus: int | None = None, app: str = "casetide", **conf: str) -
     return builder.getOrCreate()
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new folder in the one that ``spark.checkpoint.dir`` names, deleted when the session ends. Only in a local session
+    without that setting a folder of our own is made."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="casetide-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    folder = f"{base.rstrip('/')}/casetide-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder that ``spark.checkpoint.dir`` names; only where it names none, in one of our own."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="casetide-"))
-    return df.checkpoint()
+    """``df`` written once to the shared folder and read back: lineage ends there and survives lost executors."""
+    folder = shared_path(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
