@@ -34,8 +34,10 @@ from pyspark.sql import functions as F
 from .common import materialize, shared_folder, short_batches, text_bytes
 from .tokens import encoder
 
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 8_000_000
 MASS = 64.0
+#: Buckets of the blocks' table at most (80 GB of text with a block in each; beyond that blocks share buckets).
+MOST_BUCKETS = 10_000
 VOCABULARY = 49_408
 #: The mark before a text's first token.
 MARK = VOCABULARY - 1
@@ -149,7 +151,7 @@ def score(docs: DataFrame, labels: DataFrame, tokenizer_path: str, id_col: str =
         _encode(tokenizer_path), "block long, ids array<long>, good array<boolean>, counts array<long>, tokens binary"
     )
     name = f"casetide_blocks_{uuid.uuid4().hex}"
-    buckets = min(n_blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = min(n_blocks, MOST_BUCKETS)
     encoded.repartition(buckets, "block").write.option("path", shared_folder(spark)).option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(name)
     blocks = spark.table(name)
 

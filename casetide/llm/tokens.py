@@ -35,8 +35,8 @@ END_ID = 2
 SHARD_TOKENS = 1 << 18
 #: Bits between two counts of the directory.
 BLOCK = 512
-#: Pieces kept with their ids, in each worker; bits of a place in their table (80 MB); words encoded as one text.
-REMEMBERED, SLOT_BITS, JOINED = 1_000_000, 22, 2_000
+#: Pieces kept with their ids, in each worker; bits of a place in their table (42 MB); words encoded as one text.
+REMEMBERED, SLOT_BITS, JOINED = 1_000_000, 21, 2_000
 MAGIC = b"WVLTMTX1"
 
 
