@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, distinct_by_row, materialize, minima, mix64, seeds, shingle_hashes, short_batches, text_bytes
@@ -37,6 +37,8 @@ MINIMA = 512
 PLANE = MINIMA // 64
 #: Centres of a bucket.
 CENTRES = 4
+#: Times that the holders of a member in which they differ from a centre meet one of them, before the rest meet one another.
+HEADS = 2
 #: Words of 64 bits that tell how many members of a set fall on each bit an odd number of times.
 PARITY = 4
 _PARITY = [f"p{k}" for k in range(PARITY)]
@@ -212,6 +214,9 @@ def rivals(placed: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: i
     of the sets' parity that differs needs a member that only one side has.
     Members that c and its variants have in common are in no D, and what one variant has of its own is shared by none: pairs that
     meet are few even where a bucket is large and its members are nearly similar enough. No link is lost.
+
+    Two components may be joined by many links, one of which will do. So those that share a member of D first meet one of
+    them only, a few times over, and all others only where they are in different components still.
     """
     parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("c"))
     centres = materialize(parts.groupBy("key").agg(F.max_by(F.struct("c", F.col("root").alias("home")), F.struct("n", -F.col("c"))).alias("at"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "at.*"))
@@ -229,18 +234,33 @@ def rivals(placed: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: i
     least = F.greatest(F.lit(1), F.ceil((less * F.col("base") + more * F.col("d") - less * F.col("n")) / (2 * more)))
     lacking = F.floor(less * F.col("n") / percent)
     ranked = elements.join(common, ["c", "e"]).withColumns({"rank": rank, "shared": shared}).join(deltas.drop("delta"), ["c", "id"])
-    ranked = ranked.withColumn("at", F.col("d") - F.col("shared") + F.col("rank")).withColumn("within", F.least(lacking + 1, F.col("d")))
-    facts = ["id", "root", "n", "d", "at", "near", *_PARITY]
-    probe = ranked.where("NOT near AND at <= within").select("c", "e", *[F.col(k).alias(f"x_{k}") for k in facts])
-    index = ranked.where(F.col("at") <= F.least("within", F.col("d") - least + 1)).select("c", "e", *[F.col(k).alias(f"y_{k}") for k in facts])
-    apart = (F.col("x_root") != F.col("y_root")) & (F.col("y_near") | (F.col("x_id") < F.col("y_id")))
+    ranked = ranked.withColumn("at", F.col("d") - F.col("shared") + F.col("rank"))
+    indexed = F.col("at") <= F.least("within", F.col("d") - least + 1)
+    ranked = materialize(ranked.withColumn("within", F.least(lacking + 1, F.col("d"))).where("at <= within").select("c", "e", "id", "root", "n", "d", "at", "near", *_PARITY, indexed.alias("indexed")))
     sized = 100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")
     left = 1 + F.least(F.col("x_d") - F.col("x_at"), F.col("y_d") - F.col("y_at"))
     enough = 2 * more * left >= more * (F.col("x_d") + F.col("y_d")) - less * (F.col("x_n") + F.col("y_n"))
     differ = sum(F.bit_count(F.col(f"x_{p}").bitwiseXOR(F.col(f"y_{p}"))) for p in _PARITY)
-    met = probe.join(index, ["c", "e"]).where(apart & sized & enough & (more * differ <= less * (F.col("x_n") + F.col("y_n"))))
-    met = materialize(met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct())
-    return links.unionByName(materialize(confirmed(met, members, percent)))
+    similar = (F.col("x_root") != F.col("y_root")) & sized & enough & (more * differ <= less * (F.col("x_n") + F.col("y_n")))
+    facts = ["id", "root", "n", "d", "at", "near", *_PARITY]
+    side = lambda s: ["c", "e", *[F.col(k).alias(f"{s}_{k}") for k in facts]]
+
+    def linked(probe: DataFrame, index: DataFrame, once: Column) -> DataFrame:
+        met = probe.join(index, ["c", "e"]).where(similar & once)
+        met = materialize(met.select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct())
+        return materialize(confirmed(met, members, percent))
+
+    own, now = materialize(placed.select("id", "root").distinct()), ranked
+    for k in range(HEADS):
+        heads = now.where("indexed").groupBy("c", "e").agg(F.min_by(F.struct(*facts), F.xxhash64("root", "id", F.lit(k))).alias("y"))
+        links = links.unionByName(linked(now.where("NOT near").select(*side("x")), heads.select("c", "e", *[F.col(f"y.{f}").alias(f"y_{f}") for f in facts]), F.lit(True)))
+        ends = links
+        for end in ("a", "b"):
+            ends = ends.join(own.select(F.col("id").alias(end), F.col("root").alias(f"root_{end}")), end)
+        moved = materialize(components(ends, "root_a", "root_b").select(F.col("node").alias("root"), F.col("root").alias("moved")))
+        now = ranked.join(moved, "root", "left").withColumn("root", F.coalesce("moved", "root")).drop("moved")
+    probe, index = now.where("NOT near").select(*side("x")), now.where("indexed").select(*side("y"))
+    return links.unionByName(linked(probe, index, F.col("y_near") | (F.col("x_id") < F.col("y_id"))))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 2, percent: int = 80) -> DataFrame:
