@@ -7,21 +7,23 @@ from pyspark.sql import functions as F
 
 from .registry import query, table
 
+_URGENT = "o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'"
 
-@query("SELECT c_custkey AS id, 'ordered' AS origin FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) UNION ALL SELECT c_custkey, 'idle' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+
+@query("SELECT c_custkey AS id, 'ordered' AS origin FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') UNION ALL SELECT c_custkey, 'idle' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')")
 def union_by_key(spark: SparkSession, folder: str) -> DataFrame:
     """Two lists of ids as one row an id; the first list's row wins (SET-02)."""
-    ordered = table(spark, folder, "orders").select(F.col("o_custkey").alias("id"), F.lit(0).alias("priority"))
+    ordered = table(spark, folder, "orders").where(_URGENT).select(F.col("o_custkey").alias("id"), F.lit(0).alias("priority"))
     known = table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), F.lit(1).alias("priority"))
     first = ordered.unionByName(known).groupBy("id").agg(F.min("priority").alias("priority"))
     return first.select("id", F.when(F.col("priority") == 0, "ordered").otherwise("idle").alias("origin"))
 
 
-@query("SELECT c_custkey AS id, 'missing' AS status FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT DISTINCT o_custkey, 'unexpected' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)")
+@query("SELECT c_custkey AS id, 'missing' AS status FROM customer WHERE c_nationkey > 4 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') UNION ALL SELECT DISTINCT o_custkey, 'unexpected' FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey > 4)")
 def id_differences(spark: SparkSession, folder: str) -> DataFrame:
     """Ids that an expected list has and a found one hasn't, and the other way round (SET-06)."""
-    expected = table(spark, folder, "customer").select(F.col("c_custkey").alias("id"))
-    found = table(spark, folder, "orders").select(F.col("o_custkey").alias("id")).distinct()
+    expected = table(spark, folder, "customer").where("c_nationkey > 4").select(F.col("c_custkey").alias("id"))
+    found = table(spark, folder, "orders").where(_URGENT).select(F.col("o_custkey").alias("id")).distinct()
     missing = expected.join(found, "id", "left_anti").withColumn("status", F.lit("missing"))
     return missing.unionByName(found.join(expected, "id", "left_anti").withColumn("status", F.lit("unexpected")))
 
