@@ -19,7 +19,8 @@ own; paragraphs of ``LEAST_WORDS`` words or more are taken.
 5. Of each cluster the first occurrence stays: the least id, in it the first place. The others are removed.
 6. Exact passages don't depend on the cuts: every run of ``PASSAGE`` words that an earlier place holds, too (a lesser id,
    or the same text ``PASSAGE`` words before or more), is removed to the word. Runs are compared only where the least hash of their
-   ``SEED``-word sequences occurs twice; equal runs have the same, so none is lost by it.
+   ``SEED``-word sequences occurs twice; equal runs have the same, so none is lost by it. Runs next to one another with one
+   seed are a block, one row. Equal blocks are compared once, by their first occurrence, and only its runs become rows.
 7. What is removed in a text and overlaps or follows one another is one span; spans of ``LEAST_WORDS`` words or more are returned.
 
 What goes on is told by bitmaps whose size follows the number of hashes, up to ``MOST_BITS``; a bit too many costs
@@ -103,14 +104,19 @@ class Passages:
             rank = np.minimum(rank[: len(rank) - span + width], rank[span - width :])
             self.seed = (rank[self.first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         self.at = self.first - words.rows[self.row]
+        self.head = np.flatnonzero(np.append(True, self.seed[1:] != self.seed[:-1])[: len(self.seed)])
 
     def seeds(self) -> np.ndarray:
-        """The hashes of the seeds, one for each place."""
-        at = np.unique(self.seed)
+        """The hash of each block's seed."""
+        at = self.seed[self.head]
         return self.hash_of(at, at + SEED).view(np.int64)
 
-    def seed_hashes(self) -> np.ndarray:
-        return self.hash_of(self.seed, self.seed + SEED).view(np.int64)
+    def blocks(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs of the blocks ``which``, and where blocks begin among them, with an end."""
+        head = self.head[which]
+        size = np.append(self.head[1:], len(self.first))[which] - head
+        stops = np.append(0, np.cumsum(size))
+        return np.repeat(head - stops[:-1], size) + np.arange(stops[-1]), stops
 
 
 class Paragraphs:
@@ -283,9 +289,10 @@ def _links(crowded: DataFrame, members: DataFrame) -> DataFrame:
     return found.unionByName(rivals(placed, lambda ids: _sets(members), PERCENT))
 
 
-#: Kinds of places: a paragraph, a run of ``PASSAGE`` words, and a run that the same text holds before.
-PARAGRAPH, RUN, AGAIN = 0, 1, 2
-PLACES = "kind int, hash long, id long, at int, words int, lo int, hi int"
+#: Kinds of places: a paragraph, a block of runs of ``PASSAGE`` words, and runs that the same text holds before.
+PARAGRAPH, BLOCK, AGAIN = 0, 1, 2
+#: Blocks have the hash and the bytes of each run besides, and whether their text has no equal block before.
+PLACES = "kind int, hash long, id long, at int, words int, lo int, hi int, fresh boolean, runs array<long>, begins array<int>, ends array<int>"
 
 
 def _again(row: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -298,12 +305,14 @@ def _again(row: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _places(paragraphs: Filter, seeds_: Filter) -> Callable:
-    """The places of paragraphs, and of runs of ``PASSAGE`` words, whose hash's or seed's bit is set."""
+    """The places of paragraphs, and of blocks of runs of ``PASSAGE`` words, whose hash's or seed's bit is set."""
     names = [c.split()[0] for c in PLACES.split(", ")]
 
-    def rows(batch: pa.RecordBatch, kind: int, hashes: np.ndarray, row: np.ndarray, *numbers: np.ndarray) -> pa.RecordBatch:
-        columns = [pa.array(np.full(len(row), kind, np.int32)), pa.array(hashes), batch.column(0).take(pa.array(row)), *[pa.array(x.astype(np.int32)) for x in numbers]]
-        return pa.RecordBatch.from_arrays(columns, names=names)
+    def rows(batch: pa.RecordBatch, kind: int, hashes: np.ndarray, row: np.ndarray, *numbers: np.ndarray, block: tuple = ()) -> pa.RecordBatch:
+        n = len(row)
+        columns = [pa.array(np.full(n, kind, np.int32)), pa.array(hashes), batch.column(0).take(pa.array(row)), *[pa.array(x.astype(np.int32)) for x in numbers]]
+        block = block or (pa.nulls(n, pa.bool_()), pa.nulls(n, pa.list_(pa.int64())), *[pa.nulls(n, pa.list_(pa.int32()))] * 2)
+        return pa.RecordBatch.from_arrays([*columns, *block], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, at, words in _slices(batches):
@@ -311,23 +320,50 @@ def _places(paragraphs: Filter, seeds_: Filter) -> Callable:
                 k = paragraphs(p.hash)
                 yield rows(batch, PARAGRAPH, p.hash[k], p.row[k], p.at[k], p.words[k], p.lo[k], p.hi[k])
             p = Passages(words)
-            k = seeds_(p.seed_hashes())
-            first, row = p.first[k], p.row[k]
-            last = first + PASSAGE
-            runs = (p.hash_of(first, last).view(np.int64), row, p.at[k], last - first, words.begins[first] - at[row], words.ends[last - 1] - at[row])
-            yield rows(batch, RUN, *runs)
-            own = _again(row, runs[0], p.at[k])
-            yield rows(batch, AGAIN, *[x[own] for x in runs])
+            k, stops = p.blocks(seeds_(p.seeds()))
+            first, row, place = p.first[k], p.row[k], p.at[k]
+            hashes = p.hash_of(first, first + PASSAGE).view(np.int64)
+            begins, ends = words.begins[first] - at[row], words.ends[first + PASSAGE - 1] - at[row]
+            a, b = stops[:-1], stops[1:] - 1
+            whole = p.hash_of(first[a], first[b] + PASSAGE).view(np.int64)
+            offsets = pa.array(stops.astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (hashes, begins.astype(np.int32), ends.astype(np.int32))]
+            fresh = np.zeros(len(a), bool)
+            fresh[_fresh(row[a], whole)] = True
+            yield rows(batch, BLOCK, whole, row[a], place[a], first[b] + PASSAGE - first[a], begins[a], ends[b], block=(pa.array(fresh), *lists))
+            own = np.sort(_again(row, hashes, place))
+            a = np.append(True, first[own][1:] != first[own][:-1] + 1)[: len(own)]
+            a, b = own[a], own[np.append(a[1:], True)[: len(own)]]
+            yield rows(batch, AGAIN, hashes[a], row[a], place[a], first[b] + PASSAGE - first[a], begins[a], ends[b])
 
     return run
 
 
+def _fresh(row: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The first place of each hash in each row."""
+    order = np.lexsort((hashes, row))
+    row, hashes = row[order], hashes[order]
+    return order[np.append(True, (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1]))[: len(row)]]
+
+
 def _repeated_runs(places: DataFrame) -> DataFrame:
-    """(id, keep_id, at, words, lo, hi): the runs of ``PASSAGE`` words that an earlier place holds, too."""
-    runs, piece = places.where(F.col("kind") == RUN).drop("kind"), ["id", "keep_id", "at", "words", "lo", "hi"]
-    first = materialize(runs.groupBy("hash").agg(F.min("id").alias("keep_id"), F.max("id").alias("last")).where("keep_id < last").drop("last"))
+    """(id, keep_id, at, words, lo, hi): the runs of ``PASSAGE`` words that an earlier place holds, too, a piece for each block.
+
+    The runs of a block begin within ``PASSAGE`` words, so those removed overlap and are one piece from the first to the last.
+    """
+    blocks, piece = places.where(F.col("kind") == BLOCK), ["id", "keep_id", "at", "words", "lo", "hi"]
+    firsts = materialize(blocks.groupBy("hash").agg(F.min("id").alias("id"), F.max("id").alias("last")))
+    runs = blocks.where("fresh").select("hash", "id", "runs").join(firsts, ["hash", "id"]).select("hash", "id", "last", F.posexplode("runs").alias("k", "run"))
+    runs = materialize(runs)
+    kept = runs.groupBy("run").agg(F.min("id").alias("keep_id"), F.max("last").alias("last")).where("keep_id < last").drop("last")
+    held = runs.select("hash", "k", "run").join(kept, "run").groupBy("hash").agg(F.collect_list(F.struct("k", "keep_id")).alias("held"))  # a block's runs, few
+    later = F.filter("held", lambda r: r["keep_id"] != F.col("id"))
+    found = blocks.select("hash", "id", "at", "begins", "ends").join(held, "hash").withColumn("held", later).where(F.size("held") > 0)
+    a, b = F.array_min(F.transform("held", lambda r: r["k"])), F.array_max(F.transform("held", lambda r: r["k"]))
+    found = found.withColumns({"a": a, "b": b, "keep_id": F.array_min(F.transform("held", lambda r: r["keep_id"]))})
+    found = found.select("id", "keep_id", (F.col("at") + F.col("a")).alias("at"), (F.col("b") - F.col("a") + PASSAGE).alias("words"), F.get("begins", F.col("a")).alias("lo"), F.get("ends", F.col("b")).alias("hi"))
     again = places.where(F.col("kind") == AGAIN).withColumn("keep_id", F.col("id"))
-    return runs.join(first, "hash").where("id <> keep_id").select(*piece).unionByName(again.select(*piece))
+    return found.select(*piece).unionByName(again.select(*piece))
 
 
 def _repeated_paragraphs(places: DataFrame, root: DataFrame) -> DataFrame:
@@ -386,7 +422,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     repeated = materialize(counted.select("hash", "paragraph").unionByName(root.select("hash", F.lit(True).alias("paragraph"))))
     filters = [Filter(repeated.where(c).select("hash")) for c in ("paragraph", "NOT paragraph")]
     places = materialize(texts.mapInArrow(_places(*filters), PLACES))
-    found = _repeated_paragraphs(places.where(F.col("kind") == PARAGRAPH).drop("kind"), root).unionByName(_repeated_runs(places))
+    found = _repeated_paragraphs(places.where(F.col("kind") == PARAGRAPH).select("hash", "id", "at", "words", "lo", "hi"), root).unionByName(_repeated_runs(places))
     spans = _spans(found.unionByName(copies))
     return spans.where(F.col("words") >= least_words).select(F.col("id").alias(id_col), "keep_id", "byte_from", "byte_to", "words")
 
