@@ -2,7 +2,8 @@
 
 ``backward`` merges probes and series and carries the last series row along each key: one shuffle on the key, no
 candidate pairs. A null measurement still is the match; it isn't skipped for an older value. ``within`` serves series
-without a key, by buckets as wide as the tolerance, since an unpartitioned window would be a single task.
+without a key, by buckets as wide as the tolerance, since an unpartitioned window would be a single task; it carries
+along each bucket, without candidate pairs, too.
 """
 
 from __future__ import annotations
@@ -29,13 +30,21 @@ def backward(probes: DataFrame, series: DataFrame, keys: list[str], values: list
 
 
 def within(probes: DataFrame, series: DataFrame, values: list[str], *, probe_id: str, time: str = "t", tolerance: float, closed: bool = True) -> DataFrame:
-    """Backward lookup in a series without keys; the last of equal times by its values."""
-    right = series.where(F.col(time).isNotNull()).select(F.struct(F.col(time).alias("at"), *values).alias("__m"), F.explode(F.array(F.floor(F.col(time) / tolerance), F.floor(F.col(time) / tolerance) + 1)).alias("__b"))
-    left = probes.select(probe_id, F.col(time).alias("__t"), F.floor(F.col(time) / tolerance).alias("__b"))
+    """Backward lookup in a series without keys; the last of equal times by its values.
+
+    Within a bucket the last row is carried along; of the bucket before only its very last row can be a match, and is added.
+    """
+    bucket = F.floor(F.col(time) / tolerance)
+    rows = series.where(F.col(time).isNotNull()).select(bucket.alias("__b"), F.struct(F.col(time).alias("at"), *values).alias("__m"))
+    right = rows.unionByName(rows.groupBy("__b").agg(F.max("__m").alias("__m")).withColumn("__b", F.col("__b") + 1)).select("__b", "__m", F.col("__m.at").alias("__t"), F.lit(0).alias("__side"))
+    spread = F.coalesce(bucket, F.xxhash64(probe_id))  # probes without time find nothing, wherever they are
+    left = probes.select(spread.alias("__b"), F.col(time).alias("__t"), F.struct(*probes.columns).alias("__p"), F.lit(1).alias("__side"))
+    order = Window.partitionBy("__b").orderBy("__t", "__side", "__m").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = left.unionByName(right, allowMissingColumns=True)
+    found = both.withColumn("__m", F.last("__m", ignorenulls=True).over(order)).where("__p IS NOT NULL")
     age = F.col("__t") - F.col("__m.at")
-    met = left.join(right, "__b").where((age >= 0) & (age <= tolerance if closed else age < tolerance))
-    best = met.groupBy(probe_id).agg(F.max("__m").alias("__m"))
-    return probes.join(best, probe_id, "left").select(*probes.columns, F.col("__m.at").alias(f"matched_{time}"), *[F.col(f"__m.{v}").alias(v) for v in values])
+    near = age <= tolerance if closed else age < tolerance
+    return found.select("__p.*", F.when(near, F.col("__m.at")).alias(f"matched_{time}"), *[F.when(near, F.col(f"__m.{v}")).alias(v) for v in values])
 
 
 def nearest(probes: DataFrame, series: DataFrame, values: list[str], *, probe_id: str, keys: list[str] | None = None, time: str = "t", tolerance: float, later_wins: bool = True) -> DataFrame:
