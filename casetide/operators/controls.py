@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import haversine_km, local_to_utc
+from ..functions.exprs import finite, local_to_utc
+from .spatial import exact_km, vectors
+
+#: Draws before a case goes through all its candidates, and the parts that the cases of a block are dealt to.
+TRIES = 64
+SALTS = 16
 
 #: Weeks of the same month, and days a year or two off that keep the weekday (fixed values).
 MONTH_WEEKS = (-4, -3, -2, -1, 1, 2, 3, 4)
@@ -59,20 +66,66 @@ def repaired(features: DataFrame, recomputed: DataFrame, changes: DataFrame, key
 
 
 def spatial_controls(cases: DataFrame, places: DataFrame, *, seed: int, k: int = 4, least_km: float = 200.0, event_id: str = "event_id", block: list[str] | None = None) -> DataFrame:
-    """``k`` places for each case, drawn without replacement in proportion to population by a keyed exponential race.
+    """``k`` places for each case, drawn without replacement in proportion to population.
 
     Candidates share the case's ``block`` columns (country, region), lie in its population decile or the next, and at
-    least ``least_km`` away. A case with fewer than ``k`` candidates gets none. Draws are fixed by the seed, the case and
-    the place. Cases: lat, lon, decile; places: place_id, place_lat, place_lon, population, place_decile.
+    least ``least_km`` away; a population that isn't finite and positive is none. A case with fewer than ``k`` candidates gets
+    none. Draws are fixed by the seed, the case and the block's places. Cases: lat, lon, decile; places: place_id,
+    place_lat, place_lon, population, place_decile.
+
+    Places are drawn by the running sums of population, and drawn again if too near or drawn before, which gives the
+    distribution of draws among the candidates. A case that ``TRIES`` draws don't serve goes through all of its candidates:
+    a race of exponential times, which is distributed as the draws that are left.
     """
     block = block or ["country"]
-    near = cases.withColumn("place_decile", F.explode(F.array(*[F.col("decile") + d for d in (-1, 0, 1)])))
-    met = near.join(places.where("population > 0"), [*block, "place_decile"]).where(haversine_km("lat", "lon", "place_lat", "place_lon") >= least_km)
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(event_id), F.col("place_id")), F.lit(1 << 52)) + 1) / float((1 << 52) + 1)
-    race = met.withColumn("__race", -F.log(u) / F.col("population"))
-    order = Window.partitionBy(event_id).orderBy("__race", "place_id")
-    drawn = race.withColumn("offset", F.row_number().over(order) - 1).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(event_id)))
-    return drawn.where((F.col("offset") < k) & (F.col("__n") >= k)).drop("__race", "__n")
+    columns = [*block, "place_decile", *[c for c in cases.columns if c not in block], *[c for c in places.columns if c not in (*block, "place_decile")]]
+    types = {f.name: f.dataType.simpleString() for f in [*places.schema, *cases.schema]}
+
+    def drawn(own: pd.DataFrame, pool: pd.DataFrame) -> pd.DataFrame:
+        pool = pool.sort_values("place_id", kind="stable").reset_index(drop=True)
+        at, to = vectors(own["lat"], own["lon"]), vectors(pool["place_lat"], pool["place_lon"])
+        weight, seeds = pool["population"].to_numpy(float), own["__hash"].to_numpy(np.int64).view(np.uint64)
+        sums = np.cumsum(weight)
+        chosen, got = np.full((len(own), k), -1), np.zeros(len(own), int)
+        left = np.arange(len(own) if len(pool) >= k else 0)
+        for j in range(TRIES):
+            if not len(left):
+                break
+            place = np.minimum(np.searchsorted(sums, _uniform(seeds[left], j) * sums[-1], "right"), len(pool) - 1)
+            fits = (exact_km(at[:, left], to[:, place]) >= least_km) & (chosen[left] != place[:, None]).all(axis=1)
+            hit = left[fits]
+            chosen[hit, got[hit]] = place[fits]
+            got[hit] += 1
+            left = left[got[left] < k]
+        for i in left:
+            others = np.flatnonzero(exact_km(at[:, i : i + 1], to) >= least_km)
+            others = others[~np.isin(others, chosen[i])]
+            race = -np.log1p(-_uniform(seeds[i : i + 1], TRIES + others.astype(np.uint64))) / weight[others]
+            some = others[np.argsort(race, kind="stable")[: k - got[i]]]
+            chosen[i, got[i] : got[i] + len(some)] = some
+            got[i] += len(some)
+        full = np.flatnonzero(got == k)
+        rows, picked = own.iloc[np.repeat(full, k)].reset_index(drop=True), pool.iloc[chosen[full].ravel()].reset_index(drop=True)
+        out = pd.concat([rows, picked.drop(columns=[*block, "__near", "__salt"])], axis=1)
+        return out.assign(offset=np.tile(np.arange(k), len(full)))[[*columns, "offset"]]
+
+    placed = lambda df, lat, lon: df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    own = placed(cases, "lat", "lon").withColumns({"__near": F.col("decile"), "__salt": F.pmod(F.xxhash64(event_id), F.lit(SALTS)), "__hash": F.xxhash64(F.lit(seed), event_id)})
+    pool = placed(places.where(finite(F.col("population").cast("double")) > 0), "place_lat", "place_lon")
+    pool = pool.withColumn("__near", F.explode(F.array(*[F.col("place_decile") + d for d in (-1, 0, 1)]))).withColumn("__salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
+    by = [*block, "__near", "__salt"]
+    known = lambda df: df.dropna(subset=[*block, "__near"])
+    schema = ", ".join(f"`{c}` {types[c]}" for c in columns) + ", offset int"
+    return known(own).groupBy(*by).cogroup(known(pool).groupBy(*by)).applyInPandas(drawn, schema)
+
+
+def _uniform(seeds: np.ndarray, draw: int | np.ndarray) -> np.ndarray:
+    """Numbers in [0, 1) by mixing seeds with the number of the draw (splitmix64)."""
+    with np.errstate(over="ignore"):
+        x = seeds + (np.asarray(draw, np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
 
 
 def decile_edges(places: DataFrame, value: str, block: list[str], least: int = 50) -> DataFrame:
