@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -37,15 +40,42 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Folders that the innermost ``passing_tables`` deletes at its end.
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end the tables that ``materialize`` wrote inside; gives a function that writes one which stays.
+
+    One that stays goes with the enclosing ``passing_tables``, if any. Whatever reads the others must have been written or
+    collected by then.
+    """
+    outer, folders = _passing.get(), []
+    token = _passing.set(folders)
+    try:
+        yield lambda df: _stored(df, outer)
+    finally:
+        _passing.reset(token)
+        for folder in folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_folder(spark)
+    return _stored(df, _passing.get(), partition_by)
+
+
+def _stored(df: DataFrame, folders: list[str] | None, partition_by: list[str] | None = None) -> DataFrame:
+    path = shared_folder(df.sparkSession)
+    if folders is not None:
+        folders.append(path)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def short_batches(spark: SparkSession) -> None:

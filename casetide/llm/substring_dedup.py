@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NON_WORD, SPACE, Words, distinct_by_row, materialize, minima, mix64, seeds, shingle_hashes, short_batches, text_bytes
+from .common import NON_WORD, SPACE, Words, distinct_by_row, materialize, minima, mix64, passing_tables, seeds, shingle_hashes, short_batches, text_bytes
 from .components import components
 from .minhash import BROADCAST_IDS, confirmed, rivals, stars
 
@@ -352,11 +352,12 @@ def _repeated_runs(places: DataFrame) -> DataFrame:
     The runs of a block begin within ``PASSAGE`` words, so those removed overlap and are one piece from the first to the last.
     """
     blocks, piece = places.where(F.col("kind") == BLOCK), ["id", "keep_id", "at", "words", "lo", "hi"]
-    firsts = materialize(blocks.groupBy("hash").agg(F.min("id").alias("id"), F.max("id").alias("last")))
-    runs = blocks.where("fresh").select("hash", "id", "runs").join(firsts, ["hash", "id"]).select("hash", "id", "last", F.posexplode("runs").alias("k", "run"))
-    runs = materialize(runs)
-    kept = runs.groupBy("run").agg(F.min("id").alias("keep_id"), F.max("last").alias("last")).where("keep_id < last").drop("last")
-    held = runs.select("hash", "k", "run").join(kept, "run").groupBy("hash").agg(F.collect_list(F.struct("k", "keep_id")).alias("held"))  # a block's runs, few
+    with passing_tables(places.sparkSession) as keep:
+        firsts = materialize(blocks.groupBy("hash").agg(F.min("id").alias("id"), F.max("id").alias("last")))
+        runs = blocks.where("fresh").select("hash", "id", "runs").join(firsts, ["hash", "id"]).select("hash", "id", "last", F.posexplode("runs").alias("k", "run"))
+        runs = materialize(runs)
+        kept = runs.groupBy("run").agg(F.min("id").alias("keep_id"), F.max("last").alias("last")).where("keep_id < last").drop("last")
+        held = keep(runs.select("hash", "k", "run").join(kept, "run").groupBy("hash").agg(F.collect_list(F.struct("k", "keep_id")).alias("held")))  # a block's runs, few
     later = F.filter("held", lambda r: r["keep_id"] != F.col("id"))
     found = blocks.select("hash", "id", "at", "begins", "ends").join(held, "hash").withColumn("held", later).where(F.size("held") > 0)
     a, b = F.array_min(F.transform("held", lambda r: r["k"])), F.array_max(F.transform("held", lambda r: r["k"]))
@@ -405,23 +406,38 @@ def _spans(pieces: DataFrame) -> DataFrame:
     )
 
 
+def _repeated_hashes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, id) of the buckets that different paragraphs share; (hash, paragraph) of paragraphs and of seeds that occur twice."""
+    with passing_tables(texts.sparkSession) as keep:
+        table = materialize(texts.mapInArrow(_entries, ENTRIES))
+        paragraphs = table.where("keys IS NOT NULL").select("hash", "keys")
+        entries = paragraphs.select("hash", F.explode("keys").alias("key"))
+        shared = materialize(entries.groupBy("key").agg(F.min("hash").alias("x"), F.max("hash").alias("y")).where("x < y").select("key"))
+        entries = paragraphs.mapInArrow(_shared_entries(Filter(shared.select(F.col("key").alias("hash")))), "key long, id long")
+        crowded = keep(entries.distinct().join(shared, "key", "left_semi"))
+        counted = table.groupBy("hash", F.isnotnull("keys").alias("paragraph")).agg(F.sum("n").alias("n")).where("n > 1")
+        return crowded, keep(counted.select("hash", "paragraph"))
+
+
+def _roots(crowded: DataFrame, texts: DataFrame) -> DataFrame:
+    """(hash, root) of the paragraphs that are linked with others."""
+    with passing_tables(texts.sparkSession) as keep:
+        members = _members(materialize(crowded.select(F.col("id").alias("hash")).distinct()), texts)
+        return keep(components(_links(crowded, members)).withColumnRenamed("node", "hash"))
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """One row per span to remove: id, keep_id (the least whose text keeps any of it), bytes from and to, words."""
     short_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    copies, texts = _equal_texts(texts)
-    table = materialize(texts.mapInArrow(_entries, ENTRIES))
-    paragraphs = table.where("keys IS NOT NULL").select("hash", "keys")
-    entries = paragraphs.select("hash", F.explode("keys").alias("key"))
-    shared = materialize(entries.groupBy("key").agg(F.min("hash").alias("x"), F.max("hash").alias("y")).where("x < y").select("key"))
-    entries = paragraphs.mapInArrow(_shared_entries(Filter(shared.select(F.col("key").alias("hash")))), "key long, id long")
-    crowded = materialize(entries.distinct().join(shared, "key", "left_semi"))
-    root = materialize(components(_links(crowded, _members(materialize(crowded.select(F.col("id").alias("hash")).distinct()), texts))).withColumnRenamed("node", "hash"))
-
-    counted = table.groupBy("hash", F.isnotnull("keys").alias("paragraph")).agg(F.sum("n").alias("n")).where("n > 1")
-    repeated = materialize(counted.select("hash", "paragraph").unionByName(root.select("hash", F.lit(True).alias("paragraph"))))
-    filters = [Filter(repeated.where(c).select("hash")) for c in ("paragraph", "NOT paragraph")]
-    places = materialize(texts.mapInArrow(_places(*filters), PLACES))
+    with passing_tables(docs.sparkSession) as keep:
+        copies, texts = _equal_texts(texts)
+        copies = keep(copies)
+        crowded, twice = _repeated_hashes(texts)
+        root = keep(_roots(crowded, texts))
+        repeated = materialize(twice.unionByName(root.select("hash", F.lit(True).alias("paragraph"))))
+        filters = [Filter(repeated.where(c).select("hash")) for c in ("paragraph", "NOT paragraph")]
+        places = keep(texts.mapInArrow(_places(*filters), PLACES))
     found = _repeated_paragraphs(places.where(F.col("kind") == PARAGRAPH).select("hash", "id", "at", "words", "lo", "hi"), root).unionByName(_repeated_runs(places))
     spans = _spans(found.unionByName(copies))
     return spans.where(F.col("words") >= least_words).select(F.col("id").alias(id_col), "keep_id", "byte_from", "byte_to", "words")

@@ -135,6 +135,22 @@ def test_every_exact_passage_over_50_words(spark):
     assert all(not set(p.split()) & set(left[i].split()) and left[i - 1] == texts[i - 1] for i, p in planted)
 
 
+def test_tables_that_the_spans_do_not_read_are_deleted(spark):
+    from pathlib import Path
+
+    rng = random.Random(19)
+    passage = " ".join(words(rng, 60, 10**6))
+    near = [f"{passage} a{k}" for k in range(3)]
+    texts = [*near, *[" ".join([*words(rng, 40, 10**6), passage]) for _ in range(3)], near[0]]
+    substring_dedup.repeated_passages(frame(spark, [])).count()
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before = set(folder.iterdir())
+    found = substring_dedup.repeated_passages(frame(spark, texts))
+    assert {r.doc_id for r in found.collect()} == set(range(1, 7))
+    assert {p.name for p in set(folder.iterdir()) - before} == {f.split("/")[-2] for f in found.inputFiles()} - {""}
+    assert {r.doc_id for r in found.collect()} == set(range(1, 7))  # what it reads is still there
+
+
 def test_near_paragraphs_of_usual_length(spark):
     rng = random.Random(13)
     texts = []
