@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NON_WORD, SPACE, Words, distinct_by_row, materialize, minima, mix64, passing_tables, seeds, shingle_hashes, short_batches, text_bytes
+from .common import NON_WORD, SPACE, Words, materialize, minima, mix64, passing_tables, seeds, shingle_hashes, short_batches, text_bytes
 from .components import components
 from .minhash import BROADCAST_IDS, confirmed, rivals, stars
 
@@ -65,21 +65,41 @@ def paragraph_starts(hashes: np.ndarray, rows: np.ndarray, reach: int = REACH) -
     rank = mix64(hashes * seeds(1, 31)[0] + np.append(hashes[1:], np.uint64(0)) * seeds(1, 37)[0])
     place = np.arange(n) - rows[row] if n else np.zeros(0, np.int64)
     left = rows[row + 1] - np.arange(n) if n else place
-    cut = (place > reach) & (left > reach + 1)
-    for k in range(1, min(reach, n - 1) + 1):
-        cut[k:] &= rank[k:] < rank[:-k]
-        cut[:-k] &= rank[:-k] <= rank[k:]
-    cut[rows[:-1][np.diff(rows) > 0]] = True
-    return np.flatnonzero(cut)
+    at = np.flatnonzero((place > reach) & (left > reach + 1))  # whose neighbours are all in their row
+    if len(at):
+        least = _window_minima(rank, reach)
+        at = at[(rank[at] < least[at - reach]) & (rank[at] <= least[at + 1])]
+    return np.union1d(at, rows[:-1][np.diff(rows) > 0])
+
+
+def _window_minima(values: np.ndarray, span: int) -> np.ndarray:
+    """The least of each ``span`` values next to one another, by their first."""
+    width = 1
+    while 2 * width <= span:
+        values, width = np.minimum(values[:-width], values[width:]), 2 * width
+    return np.minimum(values[: len(values) - span + width], values[span - width :])
+
+
+_POWERS: tuple[np.ndarray, np.ndarray] | None = None
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the step and of its inverse modulo 2**64."""
+    global _POWERS
+    if _POWERS is None or len(_POWERS[0]) < n:
+        up, down = np.full(max(n, 1 << 18), _STEP, np.uint64), np.full(max(n, 1 << 18), pow(_STEP, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        _POWERS = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    return _POWERS
 
 
 class _Sequences:
     """Hashes of word sequences of any length, in constant time each."""
 
     def __init__(self, hashes: np.ndarray):
-        up = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(hashes), _STEP, np.uint64)]))
-        self._down = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(hashes), pow(_STEP, -1, 1 << 64), np.uint64)]))
-        self._sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * up[:-1], dtype=np.uint64)])
+        up, self._down = _powers(len(hashes) + 1)
+        self._sums = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(hashes * up[: len(hashes)], out=self._sums[1:])
 
     def __call__(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix64((self._sums[end] - self._sums[first]) * self._down[first] + (end - first).astype(np.uint64))
@@ -88,8 +108,8 @@ class _Sequences:
 class Passages:
     """Runs of ``PASSAGE`` words of a batch of texts: first word, row, and the hash of the run's seed."""
 
-    def __init__(self, words: Words):
-        self._words, self.hash_of = words, _Sequences(words.hashes)
+    def __init__(self, words: Words, sequences: _Sequences):
+        self.hash_of = sequences
         n = len(words.hashes)
         row = np.repeat(np.arange(len(words.rows) - 1), np.diff(words.rows))
         self.first = np.flatnonzero(row[: max(n - PASSAGE + 1, 0)] == row[PASSAGE - 1 :])
@@ -98,10 +118,7 @@ class Passages:
         if len(self.first):
             at = np.arange(n - SEED + 1)
             rank = self.hash_of(at, at + SEED) >> np.uint64(32) << np.uint64(32) | at.astype(np.uint64)  # of equal ones the first
-            span, width = PASSAGE - SEED + 1, 1
-            while 2 * width <= span:
-                rank, width = np.minimum(rank[:-width], rank[width:]), 2 * width
-            rank = np.minimum(rank[: len(rank) - span + width], rank[span - width :])
+            rank = _window_minima(rank, PASSAGE - SEED + 1)
             self.seed = (rank[self.first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         self.at = self.first - words.rows[self.row]
         self.head = np.flatnonzero(np.append(True, self.seed[1:] != self.seed[:-1])[: len(self.seed)])
@@ -122,14 +139,14 @@ class Passages:
 class Paragraphs:
     """Paragraphs of a batch of texts: row, first word in it, words, hash and byte range, with shingles on demand."""
 
-    def __init__(self, words: Words, at: np.ndarray, first: np.ndarray, end: np.ndarray, level: int):
+    def __init__(self, words: Words, sequences: _Sequences, at: np.ndarray, first: np.ndarray, end: np.ndarray, level: int):
         self.level, self._hashes, self._first = level, words.hashes, first
         self.row = np.searchsorted(words.rows, first, "right") - 1
         self.words = end - first
         self.lo = words.begins[first] - at[self.row]
         self.hi = words.ends[end - 1] - at[self.row]
         self.at = first - words.rows[self.row]
-        self.hash = mix64(_Sequences(words.hashes)(first, end) + np.uint64(level)).view(np.int64)
+        self.hash = mix64(sequences(first, end) + np.uint64(level)).view(np.int64)
 
     def shingles(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the paragraphs ``which``, in that order."""
@@ -138,6 +155,10 @@ class Paragraphs:
         return shingle_hashes(self._hashes[np.repeat(self._first[which] - stops[:-1], words) + np.arange(stops[-1])], stops, SHINGLE)
 
 
+#: By byte: 1 where it isn't white space.
+_FILLED = (~np.isin(np.arange(256), np.frombuffer(SPACE, np.uint8))).astype(np.uint8)
+
+
 def line_starts(data: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
     """The first words of lines, and those after a blank line."""
     first = np.zeros(len(words.hashes), bool)
@@ -147,8 +168,8 @@ def line_starts(data: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]
     if len(first):
         after = np.searchsorted(words.begins, feeds)
         first[after[after < len(first)]] = True
-        filled = np.cumsum(~np.isin(data, np.frombuffer(SPACE, np.uint8)))
-        after = after[:-1][filled[feeds[1:]] == filled[feeds[:-1]]]
+        filled = np.maximum.reduceat(_FILLED[data], feeds) if len(feeds) else feeds
+        after = after[:-1][filled[:-1] == 0]
         blank[after[after < len(first)]] = True
     return np.flatnonzero(first), np.flatnonzero(blank)
 
@@ -161,14 +182,14 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield part, data, at, Words(data, at, separators=NON_WORD)
 
 
-def _paragraphs(data: np.ndarray, at: np.ndarray, words: Words) -> Iterator[Paragraphs]:
+def _paragraphs(data: np.ndarray, at: np.ndarray, words: Words, sequences: _Sequences) -> Iterator[Paragraphs]:
     lines, blank = line_starts(data, words)
     for level, first in enumerate((paragraph_starts(words.hashes, words.rows, LONG_REACH), lines, blank)):
         end = np.append(first[1:], len(words.hashes))
         long = end - first >= LEAST_WORDS
         if level == 2:  # a paragraph of one line is taken as a line
             long &= np.searchsorted(lines, end) - np.searchsorted(lines, first) > 1
-        yield Paragraphs(words, at, first[long], end[long], level)
+        yield Paragraphs(words, sequences, at, first[long], end[long], level)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,20 +212,36 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each paragraph and, without keys, for each seed of passages, once a batch with how often it occurs."""
     names = [c.split()[0] for c in ENTRIES.split(", ")]
     for _, data, at, words in _slices(batches):
-        for p in _paragraphs(data, at, words):
+        sequences = _Sequences(words.hashes)
+        for p in _paragraphs(data, at, words, sequences):
             hashes, first, n = np.unique(p.hash, return_index=True, return_counts=True)
             least = mix64(minima(*p.shingles(first), seeds(BANDS * ROWS, 41))).reshape(-1, BANDS, ROWS)
             keys = mix64((least * seeds(ROWS, 59)).sum(axis=2, dtype=np.uint64) + seeds(BANDS, 43) + np.uint64(p.level))
             offsets = pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(keys.view(np.int64).ravel()))], names=names)
-        hashes, n = np.unique(Passages(words).seeds(), return_counts=True)
+        hashes, n = np.unique(Passages(words, sequences).seeds(), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(n.astype(np.int32)), pa.nulls(len(n), pa.list_(pa.int64()))], names=names)
 
 
+def _distinct(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values of each row, none of them empty, and where rows begin among them. ``values`` are sorted in place."""
+    for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
+        values[a:b].sort()
+    new = np.append(True, values[1:] != values[:-1])
+    new[rows[:-1]] = True
+    return values[new], np.append(0, np.cumsum(np.add.reduceat(new, rows[:-1], dtype=np.int64)))
+
+
+def _parities(values: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """``PARITY`` bits of each row in words of 64: whether an odd number of its ``values`` fall on each."""
+    n = len(rows) - 1
+    place = (mix64(values) % np.uint64(PARITY)).astype(np.int64) + np.repeat(np.arange(n) * PARITY, np.diff(rows))
+    odd = (np.bincount(place, minlength=n * PARITY) & 1).astype(np.uint8).reshape(n, PARITY)
+    return np.packbits(odd, axis=1).view(np.int64).T.copy()
+
+
 def _parity(members: np.ndarray) -> list[int]:
-    """``PARITY`` bits in words of 64: whether an odd number of ``members`` fall on each."""
-    odd = (np.bincount((mix64(members) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.int64).tolist()
+    return _parities(members, np.array([0, len(members)])).ravel().tolist()
 
 
 class Filter:
@@ -241,15 +278,14 @@ def _wanted(picked: Filter) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, at, words in _slices(batches):
-            for p in _paragraphs(data, at, words):
+            for p in _paragraphs(data, at, words, _Sequences(words.hashes)):
                 held = picked(p.hash)
                 _, first = np.unique(p.hash[held], return_index=True)
                 held = held[first]
                 if len(held):
-                    values, rows = p.shingles(held)
-                    sets = [np.unique(values[a:b]) for a, b in zip(rows[:-1], rows[1:], strict=True)]
-                    facts = np.array([[len(x), *_parity(x)] for x in sets], np.int64)
-                    columns = [pa.array(p.hash[held]), pa.array([x.tobytes() for x in sets], pa.binary()), *[pa.array(c.copy()) for c in facts.T]]
+                    values, rows = _distinct(*p.shingles(held))
+                    sets = pa.Array.from_buffers(pa.binary(), len(held), [None, pa.py_buffer((8 * rows).astype(np.int32)), pa.py_buffer(values)])
+                    columns = [pa.array(p.hash[held]), sets, pa.array(np.diff(rows)), *map(pa.array, _parities(values, rows))]
                     yield pa.RecordBatch.from_arrays(columns, names=["hash", "members", "n", *_PLANES])
 
     return run
@@ -316,10 +352,11 @@ def _places(paragraphs: Filter, seeds_: Filter) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, at, words in _slices(batches):
-            for p in _paragraphs(data, at, words):
+            sequences = _Sequences(words.hashes)
+            for p in _paragraphs(data, at, words, sequences):
                 k = paragraphs(p.hash)
                 yield rows(batch, PARAGRAPH, p.hash[k], p.row[k], p.at[k], p.words[k], p.lo[k], p.hi[k])
-            p = Passages(words)
+            p = Passages(words, sequences)
             k, stops = p.blocks(seeds_(p.seeds()))
             first, row, place = p.first[k], p.row[k], p.at[k]
             hashes = p.hash_of(first, first + PASSAGE).view(np.int64)

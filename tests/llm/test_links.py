@@ -205,6 +205,27 @@ def test_paragraph_cuts_do_not_depend_on_the_surroundings():
     assert cuts[0] == cuts[1] and len(cuts[0]) >= 2
 
 
+def test_paragraph_cuts_and_sets_by_brute_force():
+    import numpy as np
+
+    from casetide.llm.common import mix64, seeds
+
+    rng = np.random.default_rng(1)
+    for rows in ([0], [0, 0], [0, 5, 5, 300, 349], [0, 49, 99, 150, 150]):
+        h = rng.integers(0, 40, rows[-1], dtype=np.uint64)  # few values, so that there are ties
+        rank = mix64(h * seeds(1, 31)[0] + np.append(h[1:], np.uint64(0))[: len(h)] * seeds(1, 37)[0])
+        for reach in (6, 24):
+            naive = set()
+            for a, b in itertools.pairwise(rows):
+                naive |= {a} if b > a else set()
+                naive |= {i for i in range(a + reach + 1, b - reach - 1) if rank[i] < min(rank[i - reach : i]) and rank[i] <= min(rank[i + 1 : i + reach + 1])}
+            assert substring_dedup.paragraph_starts(h, np.array(rows), reach).tolist() == sorted(naive)
+    values, rows = rng.integers(0, 9, 60, dtype=np.uint64), np.array([0, 1, 7, 40, 60])
+    sets, at = substring_dedup._distinct(values.copy(), rows)
+    assert [sets[a:b].tolist() for a, b in itertools.pairwise(at)] == [sorted(set(values[a:b].tolist())) for a, b in itertools.pairwise(rows)]
+    assert substring_dedup._parities(sets, at).T.tolist() == [substring_dedup._parity(sets[a:b]) for a, b in itertools.pairwise(at)]
+
+
 def test_lcs():
     rng = random.Random(2)
     for _ in range(50):
